@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import leaks, neardup, packing, similar, terms, together
+from engram.llm import leaks, neardup, packing, quality, similar, terms, together
 from engram.sources.tables import table
 
 
@@ -65,5 +65,14 @@ def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spans.select("doc_id", "item_id", F.col("start").alias("first_unit"), F.col("end").alias("end_unit"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = quality.text_quality(table(spark, sf, "documents"), table(spark, sf, "doc_labels"))
+    return kinds.where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.text_quality(table(spark, sf, "documents"), table(spark, sf, "doc_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
