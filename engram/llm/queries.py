@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import leaks, neardup, packing, quality, similar, terms, together
+from engram.llm import leaks, neardup, packing, pii, quality, similar, terms, together
 from engram.sources.tables import table
 
 
@@ -20,6 +20,22 @@ def p1_terms(spark: SparkSession, sf: str) -> DataFrame:
     return terms.term_frequencies(table(spark, sf, "memory"), "key", ["tags", "entities"])
 
 
+def _personal(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    parts = table(spark, sf, "name_parts")
+    ids = {"messages": "id", "memory": "key"}
+    return {f"{t}.content": pii.personal(table(spark, sf, t), i, "content", parts) for t, i in ids.items()}
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = (pii.mentions(found).select(F.lit(field).alias("field"), "rec_id", "kind", "mention") for field, found in _personal(spark, sf).items())
+    return a.unionByName(b)
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = (pii.redact(found).select(F.lit(field).alias("field"), "rec_id", F.col("redacted").alias("content")).distinct() for field, found in _personal(spark, sf).items())
+    return a.unionByName(b)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = together.appear_together(table(spark, sf, "memory"), "key", "entities", least=20)
     return pairs.where("lift >= 4").select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"))
