@@ -14,7 +14,8 @@ def age_days(ts: Column, as_of: str) -> Column:
 
 def decay(ts: Column, p: Params = DEFAULT) -> Column:
     """1 now, half after each half life; a future time counts as now, a missing one as 0.01."""
-    return F.coalesce(F.pow(F.lit(2.0), -F.greatest(age_days(ts, p.as_of), F.lit(0.0)) / p.half_life_days), F.lit(0.01))
+    age = F.greatest(age_days(ts, p.as_of), F.lit(0.0))  # greatest() passes over nulls
+    return F.when(ts.isNull(), 0.01).otherwise(F.pow(F.lit(2.0), -age / p.half_life_days))
 
 
 def emotion_weight(intensity: Column, p: Params = DEFAULT) -> Column:

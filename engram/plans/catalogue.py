@@ -18,6 +18,7 @@ from engram.functions import weights as W
 from engram.operators import chunks, entries as E, maintain as M, search as S, topics as T, vocabulary as V
 from engram.params import DEFAULT as P
 from engram.sources.tables import table
+from engram.streaming import jobs as J
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -100,7 +101,7 @@ found AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 parts AS (SELECT key, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg)) AS part FROM tf JOIN found USING (term), total),
 scored AS (SELECT qid, key, round(sum(part), 6) AS score FROM parts JOIN terms USING (term) GROUP BY qid, key),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS place FROM scored) WHERE place <= 20)"""
-_DECAY = f"coalesce(pow(2.0::DOUBLE, -greatest(({AS_OF} - epoch_us(created)) / 86400e6, 0.0) / 60.0), 0.01)"
+_DECAY = f"CASE WHEN created IS NULL THEN 0.01::DOUBLE ELSE pow(2.0::DOUBLE, -greatest(({AS_OF} - epoch_us(created)) / 86400e6, 0.0) / 60.0) END"
 _EMOTION = "1 + least(coalesce(intensity, 0.0), 2.0) * 0.4"
 
 
@@ -631,3 +632,26 @@ def distill_batches(spark, sf):
 @query(f"WITH {ENTRIES}, have AS (SELECT DISTINCT key FROM vectors WHERE model = 'mini-embed-64' AND len(embedding) > 0) SELECT key FROM entries WHERE content IS NOT NULL AND trim(content) <> '' AND key NOT IN (SELECT key FROM have WHERE key IS NOT NULL)")
 def missing_vectors(spark, sf):
     return M.missing_vectors(memory(spark, sf, "content"), table(spark, sf, "vectors"), "mini-embed-64")
+
+
+# Streams, run over what is there now.
+@query(f"WITH {TOPIC_LOG} SELECT topic, sum(weight::DECIMAL(18, 6))::DOUBLE AS score, epoch_us(max(ts)) AS last_seen FROM log GROUP BY topic")
+def stream_topic_scores(spark, sf):
+    target = J.place(spark, "topics")
+    J.write_topic_scores(spark, f"{sf}/topic_log.parquet", f"{target}/rows", f"{target}/checkpoint")
+    return J.latest(spark, f"{target}/rows").select("topic", "score", F.unix_micros("last_seen").alias("last_seen"))
+
+
+@query(f"WITH {_TURNS} SELECT id, line FROM turns")
+def stream_turns(spark, sf):
+    target = J.place(spark, "turns")
+    J.write_turns(spark, f"{sf}/messages.parquet", f"{target}/rows", f"{target}/checkpoint")
+    return J.turns(spark, f"{target}/rows")
+
+
+@query(f"""WITH {ENTRIES} SELECT key, superseded_by FROM (SELECT key, lead(key) OVER (PARTITION BY content_hash ORDER BY coalesce(epoch_us(created), 0), key) AS superseded_by FROM entries WHERE content_hash IS NOT NULL) WHERE superseded_by IS NOT NULL""")
+def stream_versions(spark, sf):
+    target = J.place(spark, "versions")
+    # All files in one batch: only then is the order of arrival that of time.
+    J.run(J.superseded(J.stream(spark, f"{sf}/memory.parquet", 1_000_000)), f"{target}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{target}/rows/batch={n}"))
+    return spark.read.parquet(f"{target}/rows").select("key", "superseded_by")
