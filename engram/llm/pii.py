@@ -205,6 +205,12 @@ NAME_LATIN = re.compile(r"(?:[^\W\d_][\w'’]*\.?)(?:(?:,?\s|-)(?:[^\W\d_][\w'
 TITLES = re.compile(r"^(?:Mrs?|Ms|Miss|Dr|Prof|Herrn?|Frau|Sir|Madam)\b\.?\s*")
 
 
+def _glued(text: str, a: int, b: int) -> bool:
+    """Whether a span is only a part of a longer word or number of plain letters and digits."""
+    plain_word = lambda c: c == "-" or (c.isascii() and c.isalnum())
+    return (a > 0 and plain_word(text[a - 1]) and plain_word(text[a])) or (b < len(text) and plain_word(text[b]) and plain_word(text[b - 1]))
+
+
 def exact(text: str, span: tuple[int, int, int]) -> tuple[int, int] | None:
     """The span with its ends set by the form of its kind, or None if it has none."""
     a, b, kind = span
@@ -222,12 +228,15 @@ def exact(text: str, span: tuple[int, int, int]) -> tuple[int, int] | None:
         lo, hi = max(0, a - 40), min(len(text), b + 40)
         return best(EMAIL)
     if name == "phone":
-        m = NUMBER.search(low, a, b)
         m = max(NUMBER.finditer(low, a, b), key=lambda x: len(x.group()), default=None)
-        return m.span() if m and sum(c.isdigit() for c in m.group()) >= 7 else None
+        if not m or sum(c.isdigit() for c in m.group()) < 7 or low[m.start() - 1 : m.start()].isdigit() or low[m.end() : m.end() + 1].isdigit():
+            return None
+        return m.span()
     if name == "id_number":
         m = max(IDENTITY.finditer(low, a, b), key=lambda x: len(x.group()), default=None)
-        return m.span() if m and sum(c.isdigit() for c in m.group()) >= 5 else None
+        if not m or sum(c.isdigit() for c in m.group()) < 5 or _glued(low, *m.span()):
+            return None
+        return m.span()
     if name == "address":
         m = next((x for f in (ADDRESS_EN, ADDRESS_ZH) if (x := f.fullmatch(low, a, b))), None)
         if m:
@@ -249,7 +258,9 @@ def exact(text: str, span: tuple[int, int, int]) -> tuple[int, int] | None:
     if b > a and low[b - 1] == "." and not re.search(r"(?:^|[\s.])[^\W\d_]\.$", low[a:b]):
         b -= 1
     inside = low[a:b]
-    return (a, b) if len(inside) >= 1 and not any(c.isdigit() or c == "@" for c in inside) else None
+    if not inside or any(c.isdigit() or c == "@" for c in inside) or (inside.isascii() and not inside[0].isupper()):
+        return None
+    return None if _glued(low, a, b) else (a, b)
 
 
 def find(tagger: Tagger, encoder: Encoder, texts: list[str]) -> list[list[tuple[int, int, str]]]:

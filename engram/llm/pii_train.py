@@ -54,6 +54,10 @@ def upper(pattern: str) -> str:
     return re.sub(r"[A-Z][a-z]+", lambda m: m.group().upper(), pattern)
 
 
+#: Words of the carrier phrases, which stay as they are.
+CUE_WORDS = re.compile(r"^(?:Call|Name|Please|Remember|Their|They|The|Parcel|Ship|Write|Send|Prof|Herr|Herrn|Frau|Anschrift|Lieferung|Wohnung|Ausweis|Ausweisnummer|Steuer|Telefon|Ansprechpartner|Mobil|Street|Zugang|Werkstatt|Bitte|Will|Mark|Rose|Gold|Hope|Paket|Mail)$")
+
+
 class Seeds:
     """Labels by carrier phrases."""
 
@@ -87,7 +91,9 @@ class Seeds:
         for m in PHONE_CUES.finditer(low):
             n = pii.NUMBER.match(low, m.end())
             if n and sum(c.isdigit() for c in n.group()) >= 7 and not busy(*n.span()):
-                out.append((*n.span(), PHONE))
+                a, b = n.span()
+                b = a + len(re.split(r"\. ", low[a:b])[0])  # a full stop and a space end the sentence
+                out.append((a, b, PHONE))
         for rx in PHONE_FORMS:
             for m in rx.finditer(low):
                 a, b = m.span()
@@ -105,14 +111,23 @@ def vary(text: str, spans: list[tuple[int, int, int]], seeds: Seeds, rng: np.ran
     """The text with values exchanged, and its spans."""
     parts, out, at, shift = [], [], 0, 0
 
-    def word(like: str) -> str:
+    def word(like: str, invented: bool = False) -> str:
         r = rng.random()
-        if r < 0.5:
+        if r < 0.5 and not invented:
             w = seeds.family[int(rng.integers(len(seeds.family)))] if r < 0.35 else seeds.given[int(rng.integers(len(seeds.given)))]
         else:
             w = "".join(("bcdfghklmnprstvw"[int(rng.integers(16))] + "aeiou"[int(rng.integers(5))] + ("nlrsmt"[int(rng.integers(6))] if rng.random() < 0.5 else "")) for _ in range(int(rng.integers(2, 4)))).capitalize()
         return w
 
+    def outside(s: str) -> str:
+        """Text between spans: some names of products and some numbers are exchanged too, which stay unlabelled."""
+        if rng.random() < 0.3:
+            s = re.sub(r"\b[A-Z][a-z]{3,}\b", lambda m: word(m.group(), True) if rng.random() < 0.25 and not CUE_WORDS.search(m.group()) else m.group(), s)
+        if rng.random() < 0.5:
+            s = re.sub(r"\d(?=\d{3})|(?<=\d{3})\d", lambda m: str(int(rng.integers(10))), s)
+            s = re.sub(r"\b[A-Z]{3}(?=-\d)", lambda m: "".join(chr(65 + int(rng.integers(26))) for _ in range(3)), s)
+        return s
+
     for a, b, kind in spans:
         s = text[a:b]
         if kind == NAME:
@@ -127,11 +142,13 @@ def vary(text: str, spans: list[tuple[int, int, int]], seeds: Seeds, rng: np.ran
                 s = re.sub(r"[a-z]", lambda m: m.group() if rng.random() < 0.7 else chr(97 + int(rng.integers(26))), s) if not re.search(r"\sat\s|dot", s) else s
         elif kind in (PHONE, ID, ADDRESS) and rng.random() < 0.6:
             s = re.sub(r"(?<=\d)\d", lambda m: str(int(rng.integers(10))), s)
-        parts += [text[at:a], s]
+        before = outside(text[at:a])
+        shift += len(before) - (a - at)
+        parts += [before, s]
         out.append((a + shift, a + shift + len(s), kind))
         shift += len(s) - (b - a)
         at = b
-    return "".join([*parts, text[at:]]), out
+    return "".join([*parts, outside(text[at:])]), out
 
 
 def tags_of(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
