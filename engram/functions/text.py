@@ -91,9 +91,7 @@ def _feeling(low: Column, words: dict[str, float]) -> tuple[Column, Column]:
         at = F.instr(low, w)
         start = F.greatest(at - 4, F.lit(1))
         before = F.substring(low, start, at - start)
-        negated = F.lit(False)
-        for n in NEGATORS:
-            negated |= F.contains(before, F.lit(n))
+        negated = before.rlike("|".join(NEGATORS))
         plain += F.when((at > 0) & ~negated, weight).otherwise(0.0)
         turned += F.when((at > 0) & negated, weight * 0.5).otherwise(0.0)
     return plain, turned
