@@ -45,7 +45,10 @@ def usable_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 
 def _unit(blobs, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), np.float64).reshape(-1, dim)
+    """Unit vectors of packed ones. Vectors of 32-bit numbers are packed as such, which loses nothing."""
+    blobs = list(blobs)
+    kind = np.float32 if blobs and len(blobs[0]) == 4 * dim else np.float64
+    x = np.frombuffer(b"".join(blobs), kind).astype(np.float64).reshape(-1, dim)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -159,20 +162,30 @@ def similar_classes(classes: DataFrame, dim: int, k: int, min_cosine: float, fac
         for pdf in batches:
             if len(pdf):
                 raw = np.stack(pdf.v.values).astype(np.float64)
+                small = raw.astype(np.float32)
+                blobs = [r.tobytes() for r in (small if (small == raw).all() else raw)]
                 unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                blobs, cls = np.array([r.tobytes() for r in raw], object), pdf["cls"].values
-                for query, to in ((False, tree.route(unit, -1.0)), (True, tree.route(unit, reach))):
-                    yield pd.DataFrame({"shard": to[:, 1].astype(np.int32), "query": query, "cls": cls[to[:, 0]], "vec": blobs[to[:, 0]]})
-
-    routed = cut(packed.mapInPandas(route, "shard int, query boolean, cls string, vec binary"))
-    # At most 2^depth_most shards: their sizes are a small table.
-    sizes = {(r.shard, r.query): r.n for r in routed.groupBy("shard", "query").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shards = sorted({s for s, _ in sizes})
-    cuts = F.create_map(*[x for s in shards for x in (F.lit(s), F.array(F.lit(max(1, math.ceil(sizes.get((s, False), 0) / (2 * shard_rows)))), F.lit(max(1, math.ceil(sizes.get((s, True), 0) / block_rows)))))]) if shards else F.create_map(F.lit(0), F.array(F.lit(1), F.lit(1)))
-    routed = routed.withColumns({"parts": cuts[F.col("shard")][0], "blocks": cuts[F.col("shard")][1], "h": F.xxhash64("cls")})
+                home, to = tree.route(unit, -1.0), tree.route(unit, reach)
+                to = to[np.lexsort((to[:, 1], to[:, 0]))]
+                shards = np.split(to[:, 1].astype(np.int32), np.searchsorted(to[:, 0], np.arange(1, len(raw))))
+                yield pd.DataFrame({"cls": pdf["cls"], "vec": blobs, "home": home[np.argsort(home[:, 0]), 1].astype(np.int32), "shards": shards})
+
+    # One row a class; copies of queries are made behind the checkpoint.
+    routed = cut(packed.mapInPandas(route, "cls string, vec binary, home int, shards array<int>"))
+    count = lambda c: {r.shard: r.n for r in routed.select(c.alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # At most 2^depth_most shards: their sizes are small tables.
+    held, asked = count(F.col("home")), count(F.explode("shards"))
+    parts_of = lambda n, size: F.lit(max(1, math.ceil(n / size)))
+    cuts = F.create_map(*[x for s in sorted(held | asked) or [0] for x in (F.lit(s), F.array(parts_of(held.get(s, 0), 2 * shard_rows), parts_of(asked.get(s, 0), block_rows)))])
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    base = routed.where("not query").select("shard", F.pmod("h", "parts").cast("int").alias("part"), F.explode(every("blocks")).alias("block"), "query", "cls", "vec")
-    asks = routed.where("query").select("shard", F.explode(every("parts")).alias("part"), F.pmod("h", "blocks").cast("int").alias("block"), "query", "cls", "vec")
+
+    def spread(shard, query: bool, part, block) -> DataFrame:
+        rows = routed.select(shard.alias("shard"), F.lit(query).alias("query"), "cls", "vec", F.xxhash64("cls").alias("h"))
+        rows = rows.withColumns({"parts": cuts[F.col("shard")][0], "blocks": cuts[F.col("shard")][1]})
+        return rows.withColumn("part", part).withColumn("block", block).select("shard", "part", "block", "query", "cls", "vec")
+
+    base = spread(F.col("home"), False, F.pmod("h", "parts").cast("int"), F.explode(every("blocks")))
+    asks = spread(F.explode("shards"), True, F.explode(every("parts")), F.pmod("h", "blocks").cast("int"))
     wide = k + 6
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
