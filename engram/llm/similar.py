@@ -11,8 +11,8 @@ being the distance of the k-th best so far (or that of ``min_cosine``). Factor 1
 is found are computed in double precision from the raw vectors.
 
 Scale: rows whose vectors are equal form one class, which is indexed and searched once; members are only expanded at the
-end, each to k rows, so copies cost nothing. Shards above ``shard_rows`` are cut into parts, queries of a shard into
-blocks of ``block_rows``, so no task holds more than one part and one block.
+end, each to k rows, so copies cost nothing. Shards of more than twice ``shard_rows`` are cut into parts, queries of a shard
+into blocks of ``block_rows``, so no task holds more than one part and one block.
 
 Defined results: usable vectors have ``dim`` finite components, not all zero; others are left out, as are null keys; of
 several usable vectors of one key the greatest counts; a key is never its own neighbour; ties in cosine (to 12
@@ -149,10 +149,14 @@ class VantageTree:
                 self.ids[part[hit]] = np.where(np.isfinite(self.cos[part[hit]]), found, -1)
 
 
-def similar_classes(classes: DataFrame, dim: int, k: int, min_cosine: float, factor: float, shard_rows: int = 8192, block_rows: int = 16384, sample_most: int = 8192, depth_most: int = 10) -> DataFrame:
+def similar_classes(classes: DataFrame, dim: int, k: int, min_cosine: float, factor: float, shard_rows: int | None = None, block_rows: int | None = None, sample_most: int = 8192, depth_most: int = 10) -> DataFrame:
     """(q, b, cosine): of each class its k best others and a few more, of at least min_cosine."""
     packed = classes.select("cls", "v")
     n = packed.count()
+    # Rows are copied n^2 (1 / block_rows + 1 / shard_rows) times at most: both as large as memory allows (some 150 MB a task),
+    # but small enough that a small table still makes a dozen tasks.
+    fitting = min(65536, max(4096, -(-n // 4)))
+    shard_rows, block_rows = shard_rows or fitting, block_rows or fitting
     depth = min(depth_most, max(0, math.ceil(math.log2(max(1, n) / shard_rows))))
     sample = packed.orderBy(F.xxhash64("cls"), "cls").limit(sample_most if depth else 0).collect()
     tree = TopTree(_unit([np.asarray(r.v, np.float64).tobytes() for r in sample], dim) if sample else np.zeros((0, dim)), depth)
