@@ -97,16 +97,20 @@ class MinMax:
         return np.stack([(bits[:, :32] << shift).sum(1, dtype=np.uint64), (bits[:, 32:] << shift).sum(1, dtype=np.uint64)], 1).view(np.int64)
 
 
-def texts_by_key(df: DataFrame, key: str, text: str, entities: str, least: int) -> DataFrame:
-    """(id, text, entities): one row per key; texts that are surely too short are left out."""
+def one_per_key(df: DataFrame, key: str, text: str, entities: str) -> DataFrame:
+    """(id, text, entities): one row per key that has a text."""
     one = (
         df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
         .select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(entities).alias("entities"))
         .groupBy("id")
         .agg(F.max("text").alias("text"), F.max("entities").alias("entities"))
     )
-    # Lower case may lengthen a text (at most threefold); folding only shortens it.
-    return one.where(F.length("text") >= least // 3).select("id", "text", F.array_distinct(term_list(F.col("entities"))).alias("entities"))
+    return one.select("id", "text", F.array_distinct(term_list(F.col("entities"))).alias("entities"))
+
+
+def texts_by_key(df: DataFrame, key: str, text: str, entities: str, least: int) -> DataFrame:
+    """The same without texts that are surely too short: lower case may lengthen a text (at most threefold), folding only shortens it."""
+    return one_per_key(df, key, text, entities).where(F.length("text") >= least // 3)
 
 
 def banded(texts: DataFrame, least: int, maker: MinMax) -> DataFrame:
@@ -150,12 +154,14 @@ def near_pairs(
     """(id_a, id_b, jaccard, entity_jaccard) of all pairs that reach both thresholds."""
     texts = texts_by_key(df, key, text, entities, least)
     pairs = candidate_pairs(banded(texts, least, MinMax(permutations, rows, width)), jaccard, entity_jaccard, cap)
-    a, b = (texts.select([F.col(c).alias(f"{c}_{s}") for c in texts.columns]) for s in "ab")
+    # Entities first, on rows without texts: few pairs are left for which texts must be sent.
+    sets = one_per_key(df, key, text, entities).select("id", "entities")
     same = F.size(F.array_intersect("entities_a", "entities_b"))
     both = F.size("entities_a") + F.size("entities_b") - same
     near = F.when(both == 0, F.lit(1.0)).otherwise(same / both)
-    # Entities first: they are compared in the JVM before texts go to Python.
-    joined = pairs.join(a.withColumnRenamed("id_a", "a"), "a").join(b.withColumnRenamed("id_b", "b"), "b").withColumn("entity_jaccard", near).where(F.col("entity_jaccard") >= entity_jaccard)
+    of = lambda rows, s, *columns: rows.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    close = pairs.join(of(sets, "a", "entities"), "a").join(of(sets, "b", "entities"), "b").select("a", "b", near.alias("entity_jaccard")).where(F.col("entity_jaccard") >= entity_jaccard)
+    joined = close.join(of(texts, "a", "text"), "a").join(of(texts, "b", "text"), "b")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
