@@ -30,45 +30,58 @@ def dedup_candidates(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
     An entry asks with its ``dedup_terms`` rarest terms, so that common ones, which say least, don't bring all entries
     together. raw is their summed inverse document frequency.
     """
-    lists = V.words(rows)
+    # Numbers in the order of keys stand for keys: pairs are far more than entries. They are fixed by the checkpoint.
+    lists = cut(V.words(rows).orderBy("key").withColumn("id", F.monotonically_increasing_id()))
     n = lists.count()
-    opened = lists.select("key", F.explode("words").alias("word"))
+    opened = lists.select("id", F.explode("words").alias("word"))
     df = opened.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    known = opened.join(df, "word")
-    asked = best(known, ["key"], [F.asc("df"), F.asc("word")], p.dedup_terms).select("key", "word", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    found = asked.join(opened.select(F.col("key").alias("other"), "word"), "word").where("key <> other").groupBy("key", "other").agg(F.round(F.sum("idf"), 6).alias("raw"))
-    return best(found, ["key"], [F.desc("raw"), F.asc("other")], p.dedup_candidates).select("key", "other", "raw")
-
-
-def fusion_score(a: str, b: str, raw: Column, p: Params = DEFAULT) -> Column:
-    """Similarity of two entries (structs with words, entities, grams, strength) from word sets, entities, text score and bigrams."""
-    x, y = F.col(a), F.col(b)
-    words, grams, named = X.jaccard(x["words"], y["words"]), X.jaccard(x["grams"], y["grams"]), X.jaccard(x["entities"], y["entities"])
-    text = F.least(raw / 20, F.lit(1.0))
-    gap = F.abs(x["strength"] - y["strength"])
+    asked = best(opened.join(df, "word"), ["id"], [F.asc("df"), F.asc("word")], p.dedup_terms).select("id", "word", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    # Few rows that become many: they are spread by number, which adaptive execution leaves as it is.
+    spread = asked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "word")
+    found = spread.join(opened.select(F.col("id").alias("o"), "word"), "word").where("id <> o").groupBy("id", "o").agg(F.round(F.sum("idf"), 6).alias("raw"))
+    top = best(found, ["id"], [F.desc("raw"), F.asc("o")], p.dedup_candidates)
+    keys = lists.select("id", "key")
+    return top.join(keys, "id").join(keys.select(F.col("id").alias("o"), F.col("key").alias("other")), "o").select("key", "other", "raw")
+
+
+def fusion_score(words: Column, grams: Column, named: Column, text: Column, strengths: tuple[Column, Column], both_named: Column, p: Params = DEFAULT) -> Column:
+    """Similarity of two entries from the Jaccard similarities of their words, bigrams and entities, the text score, and how strongly they are felt. It never falls as one of the similarities rises."""
+    gap = F.abs(strengths[0] - strengths[1])
     felt = F.when(gap > p.dedup_gap, 0.0).otherwise(0.40 * words + 0.30 * (1 - gap) + 0.20 * text + 0.10 * grams)
     fact = 0.40 * named + 0.30 * text + 0.20 * words + 0.10 * grams
-    apart = (F.size(x["entities"]) > 0) & (F.size(y["entities"]) > 0) & (named == 0)
-    score = F.when((F.abs(x["strength"]) > 0.3) | (F.abs(y["strength"]) > 0.3), felt).otherwise(fact)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(apart, score * 0.5).otherwise(score))), 6)
+    score = F.when((F.abs(strengths[0]) > 0.3) | (F.abs(strengths[1]) > 0.3), felt).otherwise(fact)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(both_named & (named == 0), score * 0.5).otherwise(score))), 6)
 
 
-def dedup_scores(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(key, other, score) of all candidate pairs."""
-    parts = rows.select("key", F.struct(
-        F.array_distinct(X.content_terms(F.col("content"))).alias("words"),
-        F.array_distinct(F.filter(F.transform(F.coalesce("entities", F.array().cast("array<string>")), lambda e: F.lower(X.strip(e))), lambda e: e.isNotNull() & (e != ""))).alias("entities"),
-        X.ngrams(F.lower("content")).alias("grams"),
-        F.coalesce("intensity", F.lit(0.0)).alias("strength"),
-    ).alias("x"))
-    pairs = dedup_candidates(rows, p)
-    both = pairs.join(parts.withColumnRenamed("x", "a"), "key").join(parts.select(F.col("key").alias("other"), F.col("x").alias("b")), "other")
-    return both.select("key", "other", fusion_score("a", "b", F.col("raw"), p).alias("score"))
+def dedup_scores(rows: DataFrame, p: Params = DEFAULT, least: float = 0.0) -> DataFrame:
+    """(key, other, score) of the candidate pairs that reach ``least``.
+
+    Entities and strengths are small and come first: pairs that can't reach ``least`` even with equal texts go no
+    further. Sets of words and bigrams follow the others as 64-bit hashes."""
+    hashes = lambda c: F.transform(F.array_distinct(c), lambda x: F.xxhash64(x))
+    named = F.array_distinct(F.filter(F.transform(F.coalesce("entities", F.array().cast("array<string>")), lambda e: F.lower(X.strip(e))), lambda e: e.isNotNull() & (e != "")))
+    light = rows.select("key", named.alias("e"), F.coalesce("intensity", F.lit(0.0)).alias("s"))
+    heavy = rows.select("key", hashes(X.content_terms(F.col("content"))).alias("w"), hashes(X.ngrams(F.lower("content"))).alias("g"))
+    of = lambda df, key, n: df.select(F.col("key").alias(key), *[F.col(c).alias(f"{c}{n}") for c in df.columns if c != "key"])
+    pairs = dedup_candidates(rows, p).join(of(light, "key", 1), "key").join(of(light, "other", 2), "other")
+    pairs = pairs.select("key", "other", F.least(F.col("raw") / 20, F.lit(1.0)).alias("t"), X.jaccard(F.col("e1"), F.col("e2")).alias("n"), "s1", "s2", ((F.size("e1") > 0) & (F.size("e2") > 0)).alias("both"))
+    score = lambda words, grams: fusion_score(words, grams, F.col("n"), F.col("t"), (F.col("s1"), F.col("s2")), F.col("both"), p)
+    if least > 0:
+        pairs = pairs.where(score(F.lit(1.0), F.lit(1.0)) >= least)
+    full = pairs.join(of(heavy, "key", 1), "key").join(of(heavy, "other", 2), "other")
+    scored = full.select("key", "other", score(_overlap("w1", "w2"), _overlap("g1", "g2")).alias("score"))
+    return scored.where(F.col("score") >= least) if least > 0 else scored
+
+
+def _overlap(a: str, b: str) -> Column:
+    """Jaccard similarity of two lists of distinct numbers; 0 if either is empty."""
+    same = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(same / (F.size(a) + F.size(b) - same))
 
 
 def dedup_marks(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(key, kept, score): entries to be marked invalid, each with the best newer entry that takes its place. Of equal times the smaller key is the older."""
-    scored = dedup_scores(rows, p).where(F.col("score") >= p.dedup_threshold)
+    scored = dedup_scores(rows, p, p.dedup_threshold)
     when = rows.select("key", "created")
     both = scored.join(when, "key").join(when.select(F.col("key").alias("other"), F.col("created").alias("other_created")), "other")
     lone = F.to_timestamp(F.lit("1970-01-01 00:00:00"))
