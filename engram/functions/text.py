@@ -52,9 +52,14 @@ def tokens(c: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^\p{IsHan}{2,}$"), pairs(r)).otherwise(F.array(r))))
 
 
+def _words(words) -> Column:
+    """A constant list, by few calls; it is folded to a literal."""
+    return F.split(F.lit("|".join(words)), r"\|")
+
+
 def content_terms(c: Column) -> Column:
     """Tokens that may carry meaning: two characters or more, no stop word, not only digits."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
+    stop = _words(STOP_WORDS)
     return F.filter(tokens(c), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t) & ~t.rlike(r"^\p{N}+$"))
 
 
@@ -63,7 +68,7 @@ def keyword_occurrences(c: Column) -> Column:
     low = content_terms(c)
     varied = F.filter(low, lambda t: F.size(F.array_distinct(F.split(t, ""))) > 1)
     words = F.regexp_extract_all(F.lower(_text(c)), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"), F.lit(1))
-    stop = F.array(*map(F.lit, STOP_WORDS))
+    stop = _words(STOP_WORDS)
     return F.concat(varied, F.filter(words, lambda t: ~F.array_contains(stop, t) & (F.size(F.array_distinct(F.split(t, ""))) > 1)))
 
 
@@ -120,7 +125,7 @@ def intensity(c: Column) -> Column:
     mixed = F.regexp_extract_all(raw, F.lit("([!?！？]{2,})"), F.lit(1))
     marks = F.least((_count(raw, "!{2,}") + _count(raw, r"\?{2,}") + F.size(mixed)) * 0.15, F.lit(0.6))
     both = F.size(F.filter(mixed, lambda m: F.contains(m, F.lit("!")) & F.contains(m, F.lit("?")))) * 0.2
-    adverbs = F.least(sum((F.contains(raw, F.lit(a)).cast("int") for a in ADVERBS), F.lit(0)) * 0.2, F.lit(0.6))
+    adverbs = F.least(F.size(F.filter(_words(ADVERBS), lambda a: F.contains(raw, a))) * 0.2, F.lit(0.6))
     chars = F.least(_count(raw, r"(?d)(.)\1{2,}") * 0.15, F.lit(0.3))
     words = F.least(_count(raw, r"(?d)(.{2,4})\1{1,}") * 0.2, F.lit(0.4))
     capitals = F.least(_count(raw, r"(?<![\p{L}\p{N}_])[A-Z]{3,}(?![\p{L}\p{N}_])") * 0.15, F.lit(0.3))
@@ -131,7 +136,7 @@ def intensity(c: Column) -> Column:
 
 def intensity_label(c: Column, strength: Column) -> Column:
     low = F.lower(F.trim(_text(c)))
-    any_of = lambda words: F.greatest(*[F.contains(low, F.lit(w)) for w in words])
+    any_of = lambda words: low.rlike("|".join(words))
     negated = any_of(LABEL_NEGATORS) | (F.contains(low, F.lit("不")) & ~F.contains(low, F.lit("不错")))
     strong = lambda label: F.when(strength >= 1.2, f"strong_{label}").otherwise(label)
     return F.when(low == "", "neutral").when(any_of(LABEL_POSITIVE) & ~negated, strong("positive")).when(any_of(LABEL_NEGATIVE) | negated, strong("negative")).otherwise("neutral")
@@ -141,11 +146,11 @@ def entities(c: Column) -> Column:
     """Entities by lists and form: known names, capitals, technical terms, what stands before an organisation's ending, prices. Distinct without regard to case, in this order."""
     text = _text(c)
     low = F.lower(text)
-    has = lambda words, upper=False: F.filter(F.array(*[F.when(F.contains(low, F.lit(w.lower())), w.upper() if upper else w) for w in words]), lambda x: x.isNotNull())
+    has = lambda words: F.filter(_words(words), lambda w: F.contains(low, F.lower(w)))
     capitals = F.regexp_extract_all(text, F.lit("([A-Z][A-Z0-9]+(?:/[A-Z0-9]+)*)"), F.lit(1))
     before = F.regexp_extract_all(text, F.lit(r"(\p{IsHan}{2})(?:" + "|".join(ORGANISATIONS) + ")"), F.lit(1))
     prices = F.regexp_extract_all(text, F.lit(r"(?<!\d)([6-9]\d{4,5})(?!\d)"), F.lit(1))
-    every = F.concat(has(KNOWN_ENTITIES), capitals, has(TECHNICAL, True), before, prices)
+    every = F.concat(has(KNOWN_ENTITIES), capitals, F.transform(has(TECHNICAL), F.upper), before, prices)
     lows = F.transform(every, F.lower)
     return F.filter(every, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
 

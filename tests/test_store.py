@@ -23,6 +23,18 @@ def rows(spark, *texts, at="2026-02-04 12:00:00", tags=("shared",)):
     return spark.createDataFrame([(t, list(tags), "fact", "chat") for t in texts], "content string, tags array<string>, category string, source string").withColumn("created", F.lit(at).cast("timestamp"))
 
 
+@pytest.fixture(autouse=True, scope="module")
+def interpreted(spark):
+    """Many small plans: compiling them would take most of the time."""
+    names = {"spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "2"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture()
 def store(spark, tmp_path):
     s = MemoryStore(spark, str(tmp_path), "main", params=P)
