@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,9 +233,7 @@ def _block_spans(narrow: DataFrame, phrases: Phrases, shard_units: int) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = held.value
-        numbers = defaultdict(int, p.numbers)
-        # get() leaves the table as it is.
-        look = numbers.get
+        look = p.numbers.get
         docs, texts, indexed = [], [], 0
         for pdf in batches:
             for d, t in zip(pdf.doc_id.astype("Int64"), pdf.text):

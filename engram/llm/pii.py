@@ -61,6 +61,7 @@ class Encoder:
         self.family = {t.lower() for t, r in parts if t and r == "family" and len(t) > 1}
         self.given = {t.lower() for t, r in parts if t and r == "given"}
         self.surnames = {t for t, r in parts if t and r == "family" and len(t) == 1}
+        self.codes: dict[str, int] = {}
 
     def char(self, c: str) -> int:
         n = self.number.get(c)
@@ -68,20 +69,22 @@ class Encoder:
             n = self.number[c] = 2 + ord(c) % HAN_BUCKETS if "㐀" <= c <= "鿿" else 1
         return n
 
+    def code(self, c: str) -> int:
+        """Number and flags of a character in one."""
+        return self.codes.get(c) or self.codes.setdefault(c, self.char(c) << FLAGS | self.flag(c))
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, flags as bits of one number)."""
         low = plain(text)
-        ids = np.fromiter(map(self.char, low), np.int32, len(low))
-        flags = np.fromiter((self.flag(c) for c in low), np.int32, len(low))
+        codes = np.fromiter(map(self.code, low), np.int32, len(low))
         for m in _WORD.finditer(low):
             w = m.group().lower()
             if w in self.family:
-                flags[m.start() : m.end()] |= 64
+                codes[m.start() : m.end()] |= 64
             if w in self.given:
-                flags[m.start() : m.end()] |= 128
-        return ids, flags
+                codes[m.start() : m.end()] |= 128
+        return codes >> FLAGS, codes & ((1 << FLAGS) - 1)
 
-    @functools.cache
     def flag(self, c: str) -> int:
         """Class bits of a character."""
         kind = 1 if c.isdigit() else 2 if c.isupper() else 4 if c.islower() else 8 if "㐀" <= c <= "鿿" else 16 if c.isspace() else 32
@@ -105,18 +108,31 @@ class Tagger:
     def emissions(self, ids: np.ndarray, flags: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Scores, time x windows x tags, of windows x time."""
         n, t, h = len(ids), ids.shape[1], self.hidden
+        # What characters and flags add is looked up once for each of their combinations.
+        codes = ids.astype(np.int64) << FLAGS | flags
+        seen = np.zeros(len(self.by_char["f"]) << FLAGS, bool)
+        seen[codes] = True
+        kinds = np.nonzero(seen)[0]
+        place = np.empty(len(seen), np.int32)
+        place[kinds] = np.arange(len(kinds))
+        at = np.ascontiguousarray(place[codes].T)
         scores = np.broadcast_to(self.w["out0"], (t, n, TAGS)).copy()
+        z, gates, new = np.empty((n, 4 * h), np.float32), np.empty((n, 3 * h), np.float32), np.empty((n, h), np.float32)
         for d in "fb":
+            inputs = self.by_char[d][kinds >> FLAGS] + self.by_flags[d][kinds & ((1 << FLAGS) - 1)]
             state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
             out = self.w["out"][:h] if d == "f" else self.w["out"][h:]
             for k in range(t) if d == "f" else range(t - 1, -1, -1):
-                z = self.by_char[d][ids[:, k]]
-                z += self.by_flags[d][flags[:, k]]
-                z += state @ self.recur[d]
+                np.matmul(state, self.recur[d], out=z)
+                z += inputs[at[k]]
                 np.tanh(z, out=z)
-                gates = z[:, : 3 * h] * 0.5 + 0.5
-                cell = gates[:, h : 2 * h] * cell + gates[:, :h] * z[:, 3 * h :]
-                state = gates[:, 2 * h : 3 * h] * np.tanh(cell)
+                np.multiply(z[:, : 3 * h], 0.5, out=gates)
+                gates += 0.5
+                cell *= gates[:, h : 2 * h]
+                np.multiply(gates[:, :h], z[:, 3 * h :], out=new)
+                cell += new
+                np.tanh(cell, out=state)
+                state *= gates[:, 2 * h :]
                 if d == "b":  # nothing is carried in from the padding
                     off = lengths <= k
                     if off.any():
@@ -124,6 +140,16 @@ class Tagger:
                 scores[k] += state @ out
         return scores
 
+    def plain_windows(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Windows whose best sequence is surely outside everywhere.
+
+        A run of m characters inside adds at most the sum of what each gains over outside, and m + 1 <= 2m transitions, of which
+        each gains at most g; if every character's gain is below -2g, no run pays."""
+        trans, start = self.w["trans"], self.w["start"]
+        g = max(0.0, float(trans.max() - trans[0, 0]), float(start.max() - start[0]))
+        gain = scores[:, :, 1:].max(2) - scores[:, :, 0]
+        return ((gain < -2 * g - 1e-3) | (np.arange(len(scores))[:, None] >= lengths[None])).all(0)
+
     def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The best tags of each window, by Viterbi."""
         t, n, _ = scores.shape
@@ -153,6 +179,7 @@ class Tagger:
             jobs += [(min(WINDOW, n - s), i, s) for s in starts if n]
         jobs.sort()
         found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        held: list[tuple[np.ndarray, list[tuple[int, int, int]]]] = []
         for at in range(0, len(jobs), batch):
             part = jobs[at : at + batch]
             t = part[-1][0]
@@ -160,9 +187,18 @@ class Tagger:
             lengths = np.array([j[0] for j in part])
             for r, (n, i, s) in enumerate(part):
                 ids[r, :n], flags[r, :n] = coded[i][0][s : s + n], coded[i][1][s : s + n]
-            tags = self.decode(self.emissions(ids, flags, lengths), lengths)
+            scores = self.emissions(ids, flags, lengths)
+            open_ = np.nonzero(~self.plain_windows(scores, lengths))[0]
+            held.append((scores[:, open_], [part[r] for r in open_]))
+        # The few windows that may hold something are decoded together.
+        t = max((x.shape[0] for x, _ in held), default=0)
+        left = [job for _, mine in held for job in mine]
+        if left:
+            lengths = np.array([j[0] for j in left])
+            scores = np.concatenate([np.pad(x, ((0, t - len(x)), (0, 0), (0, 0))) for x, _ in held], 1)
+            tags = self.decode(scores, lengths)
             for r in np.nonzero((tags > 0).any(1))[0]:
-                n, i, s = part[r]
+                n, i, s = left[r]
                 for a, b, kind in tag_spans(tags[r, :n]):
                     # Distance from the nearest cut; the text's own ends are no cuts.
                     margin = min(a if s else WINDOW, n - b if s + n < len(texts[i]) else WINDOW)
