@@ -46,9 +46,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 PLAIN = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20, 0xA0: 0x20, 0x2010: 0x2D, 0x2011: 0x2D, 0x2012: 0x2D, 0x2013: 0x2D, 0x2212: 0x2D}
 
 
+_WIDE = re.compile("[" + "".join(map(chr, PLAIN)) + "]")
+
+
 def plain(text: str) -> str:
     """The text with full-width forms replaced; of the same length."""
-    return text.translate(PLAIN)
+    return text.translate(PLAIN) if _WIDE.search(text) else text
 
 
 class Encoder:
@@ -61,7 +64,6 @@ class Encoder:
         self.family = {t.lower() for t, r in parts if t and r == "family" and len(t) > 1}
         self.given = {t.lower() for t, r in parts if t and r == "given"}
         self.surnames = {t for t, r in parts if t and r == "family" and len(t) == 1}
-        self.codes: dict[str, int] = {}
 
     def char(self, c: str) -> int:
         n = self.number.get(c)
@@ -71,12 +73,20 @@ class Encoder:
 
     def code(self, c: str) -> int:
         """Number and flags of a character in one."""
-        return self.codes.get(c) or self.codes.setdefault(c, self.char(c) << FLAGS | self.flag(c))
+        return self.char(c) << FLAGS | self.flag(c)
+
+    @functools.cached_property
+    def table(self) -> np.ndarray:
+        """Codes of the first 65,536 characters, full-width forms as plain ones."""
+        return np.array([self.code(chr(PLAIN.get(c, c))) for c in range(0x10000)], np.int32)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, flags as bits of one number)."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = self.table[np.minimum(points, 0xFFFF)]
+        for k in np.nonzero(points > 0xFFFF)[0]:
+            codes[k] = self.code(text[k])
         low = plain(text)
-        codes = np.fromiter(map(self.code, low), np.int32, len(low))
         for m in _WORD.finditer(low):
             w = m.group().lower()
             if w in self.family:
