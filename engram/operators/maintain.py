@@ -178,21 +178,36 @@ def stale(rows: DataFrame, last_accessed: str, created: str, p: Params = DEFAULT
 
 
 def turns(messages: DataFrame, after: int | None = None, p: Params = DEFAULT) -> DataFrame:
-    """(id, line): messages that distillation reads, each once: from user or assistant, long enough, cut at a length."""
+    """(id, line): messages that distillation reads, each once and whole: from user or assistant, long enough."""
     ok = messages.where("id IS NOT NULL AND role IN ('user', 'assistant') AND content IS NOT NULL").where(F.length(F.trim("content")) >= p.distill_least)
     if after is not None:
         ok = ok.where(F.col("id") > after)
     one = ok.groupBy("id").agg(F.max(F.struct("role", "content")).alias("m"))
-    return one.select("id", F.concat(F.lit("["), F.col("m.role"), F.lit("] "), F.substring("m.content", 1, p.distill_most)).alias("line"))
+    return one.select("id", F.concat(F.lit("["), F.col("m.role"), F.lit("] "), F.col("m.content")).alias("line"))
 
 
 def conversations(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(batch, messages, text): lines of up to ``distill_rows`` consecutive ids, joined in order; of a long text the end.
+    """(batch, messages, text): lines of up to ``distill_rows`` consecutive ids, joined in order; a row for each ``distill_chars`` characters.
 
+    Every line is in some text; a longer one is split over several. messages counts the lines that begin in a text.
     Batches are cut by id, so all rows are read and no global numbering is needed."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n")
-    batches = lines.groupBy(F.floor(F.col("id") / p.distill_rows).alias("batch")).agg(F.count(F.lit(1)).alias("messages"), joined.alias("text"))
-    return batches.select("batch", "messages", F.right("text", F.lit(p.distill_chars)).alias("text"))
+    most = p.distill_chars
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts, counts = [], []
+        for line in pdf.sort_values("id").line:
+            for i in range(0, len(line), most):
+                piece = line[i : i + most]
+                if i == 0 and texts and len(texts[-1]) + 1 + len(piece) <= most:
+                    texts[-1] += "\n" + piece
+                    counts[-1] += 1
+                else:
+                    texts.append(piece)
+                    counts.append(int(i == 0))
+        return pd.DataFrame({"batch": int(pdf.batch.iloc[0]), "messages": counts, "text": texts})
+
+    numbered = lines.select(F.floor(F.col("id") / p.distill_rows).alias("batch"), "id", "line")
+    return numbered.groupBy("batch").applyInPandas(run, "batch long, messages long, text string")
 
 
 def distilled_items(answer: Column) -> Column:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from engram.params import Params
 from engram.operators import components as C
 from engram.operators import entries as E
 from engram.operators import maintain as M
@@ -159,3 +160,13 @@ def test_synonym_tables(spark):
     found = spark.createDataFrame([("a", "x"), ("y", "z")], "word_a string, word_b string")
     merged = {(r.term, r.synonym) for r in V.merged_synonyms(found, edges.where("term = 'a'")).collect()}
     assert merged == {("a", "b"), ("a", "c"), ("x", "a"), ("y", "z"), ("z", "y")}
+
+
+def test_every_character_is_in_a_batch(spark):
+    said = {1: "first " + "a" * 50, 2: "b" * 230, 3: "third " + "c" * 60, 4: "last " + "d" * 60}
+    messages = spark.createDataFrame([(i, "user", t) for i, t in said.items()], "id bigint, role string, content string")
+    p = Params(distill_chars=100, distill_most=120)
+    got = M.conversations(M.turns(messages, None, p), p).collect()
+    assert all(len(r.text) <= 100 for r in got) and sum(r.messages for r in got) == 4
+    every = "".join(r.text for r in got)
+    assert all(every.count(c) >= n for c, n in (("a", 50), ("b", 230), ("c", 60), ("d", 60)))
