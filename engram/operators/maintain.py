@@ -129,8 +129,8 @@ def leader_groups(rows: DataFrame, p: Params = DEFAULT, rounds: int = 200) -> Da
 
 
 def first_sentences(texts: list[str]) -> str:
-    """The default merge: a line for each distinct text, its first 300 characters."""
-    return "\n".join(f"- {t[:300]}" for t in dict.fromkeys(t.strip() for t in texts if t and t.strip()))
+    """The default merge: each distinct text, whole, since nothing else of it can be found afterwards."""
+    return "\n".join(f"- {t}" for t in dict.fromkeys(t.strip() for t in texts if t and t.strip()))
 
 
 def merge_groups(groups: DataFrame, rows: DataFrame, merge: Callable[[list[str]], str] = first_sentences, agent: str = "main") -> DataFrame:

@@ -131,7 +131,9 @@ class MemoryStore:
             rows = rows.where(E.tagged(F.col("tags"), tags))
         asked = S.query_terms(self.spark.createDataFrame([(query,)], "query string"))
         words = S.expand_terms(asked, V.synonym_edges(self.table("synonyms")))
-        found = S.text_search(E.not_noise(rows, p.noise_chars), words, p).drop("place").join(rows, "key")
+        # A merged entry stands for its originals, however long it is.
+        said = rows.where((F.length("content") <= p.noise_chars) | (F.col("fragment_type") == "consolidated"))
+        found = S.text_search(said, words, p).drop("place").join(rows, "key")
         hot, listed = self.topics("all", p.hot_topics).collect(), self.attention("all", p.hot_topics).collect()
         by_text = S.rerank(found, S.relative(F.col("score")), hot, listed, p).where(F.col("place") <= (top or p.final_limit))
         if self.embed is None:

@@ -148,3 +148,11 @@ def test_vectors(spark):
     df = spark.createDataFrame([([1.0, -2.5],), (None,)], "v array<float>").select(schema.packed(F.col("v")).alias("b"))
     assert [r.v for r in df.select(schema.unpacked(F.col("b")).alias("v")).collect()] == [[1.0, -2.5], None]
     assert schema.dimension("mini-embed-64") == 64 and schema.dimension("unheard of") == 1536
+
+
+def test_merged_texts_stay_whole(spark, tmp_path):
+    s = MemoryStore(spark, str(tmp_path), "main", params=P)
+    text = "deployment pipeline rotates staging certificates " * 8
+    s.store(rows(spark, text + "zebrafish", text + "marmalade", at="2025-01-01 00:00:00"))
+    assert len(s.consolidate().collect()) == 1
+    assert s.search("zebrafish").count() == s.search("marmalade").count() == 1
