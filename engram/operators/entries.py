@@ -79,5 +79,5 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def feedback_totals(log: DataFrame) -> DataFrame:
-    """(key, score) of a log of deltas; a row delivered again counts once. Few keys hold most rows: partial sums come first."""
-    return log.where("key IS NOT NULL").select("key", "ts", "delta").distinct().groupBy("key").agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("score"))
+    """(key, score) of a log of deltas; a row delivered again counts once, told by its write_id where there is one. Few keys hold most rows: partial sums come first."""
+    return log.where("key IS NOT NULL").select("key", "ts", "delta", *[c for c in ("write_id",) if c in log.columns]).distinct().groupBy("key").agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("score"))

@@ -41,8 +41,9 @@ def current(log: DataFrame, period: str, p: Params = DEFAULT) -> DataFrame:
 
 
 def writes(log: DataFrame) -> DataFrame:
-    """(topic, ts, weight) of the log, topics in lower case, rows delivered again once, no null topics; a null weight is 1."""
-    return log.where("topic IS NOT NULL AND trim(topic) <> ''").select(F.lower(X.strip(F.col("topic"))).alias("topic"), "ts", F.coalesce("weight", F.lit(1.0)).alias("weight")).distinct()
+    """(topic, ts, weight) of the log, topics in lower case, rows delivered again once (told by their write_id, where there is one), no null topics; a null weight is 1."""
+    own = [c for c in ("write_id",) if c in log.columns]
+    return log.where("topic IS NOT NULL AND trim(topic) <> ''").select(F.lower(X.strip(F.col("topic"))).alias("topic"), "ts", F.coalesce("weight", F.lit(1.0)).alias("weight"), *own).distinct().drop(*own)
 
 
 def scores(log: DataFrame) -> DataFrame:

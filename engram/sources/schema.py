@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 TABLES = {
     "entries": "key string, content_hash string, version int, content string, tags array<string>, category string, source string, created timestamp, fragment_type string, intensity double, polarity double, sentiment_label string, feedback_score bigint, entities array<string>, level int, valid_until timestamp, invalid_at timestamp, corrected_at timestamp, consumed_by string, consumed_at timestamp",
     "updates": "key string, ts timestamp, column string, value string",
-    "feedback": "key string, ts timestamp, delta bigint",
-    "topics": "topic string, ts timestamp, weight double",
-    "attention": "topic string, ts timestamp, weight double",
+    "feedback": "key string, ts timestamp, delta bigint, write_id string",
+    "topics": "topic string, ts timestamp, weight double, write_id string",
+    "attention": "topic string, ts timestamp, weight double, write_id string",
     "vectors": "key string, model string, embedding array<float>",
     "synonyms": "term string, synonyms string",
     "checked": "key string",

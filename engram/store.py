@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Protocol
 
@@ -90,15 +91,15 @@ class MemoryStore:
         try:
             words = V.keywords(full).join(full.select("key", "created", "sentiment_label", "intensity"), "key")
             weight = F.when(F.col("sentiment_label").like("%positive"), 1.5).when(F.col("sentiment_label").like("%negative"), 1.3).otherwise(1.0)
-            self.append("topics", words.select(F.col("word").alias("topic"), F.col("created").alias("ts"), weight.alias("weight")))
-            self.append("attention", words.where(F.length("word") >= 2).select(F.col("word").alias("topic"), F.col("created").alias("ts"), (self.params.attention_base + F.col("intensity") * self.params.attention_emotion).alias("weight")))
+            self.append("topics", words.select(F.col("word").alias("topic"), F.col("created").alias("ts"), weight.alias("weight"), F.col("key").alias("write_id")))
+            self.append("attention", words.where(F.length("word") >= 2).select(F.col("word").alias("topic"), F.col("created").alias("ts"), (self.params.attention_base + F.col("intensity") * self.params.attention_emotion).alias("weight"), F.col("key").alias("write_id")))
             self.append("entries", full)
         finally:
             full.unpersist()
 
     def feedback(self, key: str, positive: bool) -> None:
         now = F.lit(self.params.as_of).cast("timestamp")
-        self.append("feedback", self.spark.range(1).select(F.lit(key).alias("key"), now.alias("ts"), F.lit(1 if positive else -2).cast("bigint").alias("delta")))
+        self.append("feedback", self.spark.range(1).select(F.lit(key).alias("key"), now.alias("ts"), F.lit(1 if positive else -2).cast("bigint").alias("delta"), F.lit(str(uuid.uuid4())).alias("write_id")))
 
     def update(self, keys: DataFrame, column: str, value: str | None = None) -> None:
         """Sets a column of entries; times are ``as_of``. invalid_at expires them, corrected_at marks them as corrected."""

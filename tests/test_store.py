@@ -156,3 +156,14 @@ def test_merged_texts_stay_whole(spark, tmp_path):
     s.store(rows(spark, text + "zebrafish", text + "marmalade", at="2025-01-01 00:00:00"))
     assert len(s.consolidate().collect()) == 1
     assert s.search("zebrafish").count() == s.search("marmalade").count() == 1
+
+
+def test_each_write_counts(spark, tmp_path):
+    s = MemoryStore(spark, str(tmp_path), "main", params=P)
+    s.store(rows(spark, "gateway alpha", "gateway beta"))
+    assert s.topics("all", 30).where("topic = 'gateway'").first().score == 2.0
+    key = s.table("entries").first().key
+    s.feedback(key, True)
+    s.feedback(key, True)
+    s.append("feedback", s.table("feedback").limit(1))  # delivered again
+    assert s.entries().where(F.col("key") == key).first().feedback_score == 2
