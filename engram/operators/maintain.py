@@ -25,7 +25,7 @@ def dedup_eligible(rows: DataFrame, checked: DataFrame | None = None) -> DataFra
 
 
 def dedup_candidates(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(key, other, raw): for each entry the entries that share one of its rarest terms, the 20 of the highest score.
+    """(key, other, raw): for each entry the entries that share one of its rarest terms, the 20 of the highest score. A ranked list to look at; marks come from ``dedup_pairs``, which has no such limit.
 
     An entry asks with its ``dedup_terms`` rarest terms, so that common ones, which say least, don't bring all entries
     together. raw is their summed inverse document frequency.
@@ -53,24 +53,96 @@ def fusion_score(words: Column, grams: Column, named: Column, text: Column, stre
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(both_named & (named == 0), score * 0.5).otherwise(score))), 6)
 
 
-def dedup_scores(rows: DataFrame, p: Params = DEFAULT, least: float = 0.0) -> DataFrame:
-    """(key, other, score) of the candidate pairs that reach ``least``.
+def _named(c: str = "entities") -> Column:
+    return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda e: F.lower(X.strip(e))), lambda e: e.isNotNull() & (e != "")))
 
-    Entities and strengths are small and come first: pairs that can't reach ``least`` even with equal texts go no
-    further. Sets of words and bigrams follow the others as 64-bit hashes."""
-    hashes = lambda c: F.transform(F.array_distinct(c), lambda x: F.xxhash64(x))
-    named = F.array_distinct(F.filter(F.transform(F.coalesce("entities", F.array().cast("array<string>")), lambda e: F.lower(X.strip(e))), lambda e: e.isNotNull() & (e != "")))
-    light = rows.select("key", named.alias("e"), F.coalesce("intensity", F.lit(0.0)).alias("s"))
-    heavy = rows.select("key", hashes(X.content_terms(F.col("content"))).alias("w"), hashes(X.ngrams(F.lower("content"))).alias("g"))
-    of = lambda df, key, n: df.select(F.col("key").alias(key), *[F.col(c).alias(f"{c}{n}") for c in df.columns if c != "key"])
-    pairs = dedup_candidates(rows, p).join(of(light, "key", 1), "key").join(of(light, "other", 2), "other")
-    pairs = pairs.select("key", "other", F.least(F.col("raw") / 20, F.lit(1.0)).alias("t"), X.jaccard(F.col("e1"), F.col("e2")).alias("n"), "s1", "s2", ((F.size("e1") > 0) & (F.size("e2") > 0)).alias("both"))
-    score = lambda words, grams: fusion_score(words, grams, F.col("n"), F.col("t"), (F.col("s1"), F.col("s2")), F.col("both"), p)
-    if least > 0:
-        pairs = pairs.where(score(F.lit(1.0), F.lit(1.0)) >= least)
-    full = pairs.join(of(heavy, "key", 1), "key").join(of(heavy, "other", 2), "other")
-    scored = full.select("key", "other", score(_overlap("w1", "w2"), _overlap("g1", "g2")).alias("score"))
-    return scored.where(F.col("score") >= least) if least > 0 else scored
+
+def _hashes(c: Column) -> Column:
+    return F.transform(F.array_distinct(c), lambda x: F.xxhash64(x))
+
+
+def _of(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The frame under the name of a pair's side."""
+    return df.select(F.col("key").alias(key), *[F.col(c).alias(f"{c}{n}") for c in df.columns if c != "key"])
+
+
+def dedup_scores(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(key, other, score) of the candidate pairs. Sets of words and bigrams are compared as 64-bit hashes."""
+    sides = rows.select("key", _named().alias("e"), F.coalesce("intensity", F.lit(0.0)).alias("s"), _hashes(X.content_terms(F.col("content"))).alias("w"), _hashes(X.ngrams(F.lower("content"))).alias("g"))
+    full = dedup_candidates(rows, p).join(_of(sides, "key", 1), "key").join(_of(sides, "other", 2), "other")
+    both = (F.size("e1") > 0) & (F.size("e2") > 0)
+    score = fusion_score(_overlap("w1", "w2"), _overlap("g1", "g2"), X.jaccard(F.col("e1"), F.col("e2")), F.least(F.col("raw") / 20, F.lit(1.0)), (F.col("s1"), F.col("s2")), both, p)
+    return full.select("key", "other", score.alias("score"))
+
+
+def dedup_members(rows: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+    """(key, at, id, size, first, fresh, content, e, s): entries with their class, which is that of equal text, entities and strength.
+
+    All of a class score alike, so classes are compared and not entries. fresh: the entry is among those asking, or there is no such list."""
+    lone = F.to_timestamp(F.lit("1970-01-01 00:00:00"))
+    each = rows.select("key", F.coalesce("created", lone).alias("at"), "content", F.array_sort(_hashes(_named())).alias("e"), F.coalesce("intensity", F.lit(0.0)).alias("s"))
+    if asking is None:
+        each = each.withColumn("fresh", F.lit(True))
+    else:
+        each = each.join(asking.select("key", F.lit(True).alias("fresh")).distinct(), "key", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    w = Window.partitionBy("content", "e", "s", "fresh")
+    named = cut(each.withColumns({"leads": F.min("key").over(w), "size": F.count(F.lit(1)).over(w)}))
+    numbers = cut(named.where("key = leads").select("leads", F.monotonically_increasing_id().alias("id")))
+    return named.join(numbers, "leads").withColumn("first", F.expr("key = leads")).drop("leads")
+
+
+def dedup_pairs(classes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(id, o, score): every pair of classes that reaches the threshold, o with itself where it has more than one entry.
+
+    No pair is left out for its place in a list. One that shares none of the asking side's ``dedup_terms`` rarest terms
+    has no text score, and then reaches the threshold only if its words are alike to ``least``; such a pair shares one of
+    the first words, rarest first, that either side has beyond the share it must have in common. Pairs that entities and
+    strengths alone keep below the threshold go no further than the join.
+    """
+    if p.dedup_threshold <= 0.5:
+        raise ValueError("dedup_pairs: at a threshold of 0.5 or less, entries that share no word may reach it")
+    least = min((p.dedup_threshold - 0.5) / 0.2, (p.dedup_threshold - 0.4) / 0.4) - 1e-5
+    lists = cut(classes.select("id", "size", "fresh", "e", "s", F.array_distinct(X.content_terms(F.col("content"))).alias("words")))
+    n = lists.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    opened = lists.select("id", "size", F.size("words").alias("len"), F.explode("words").alias("word"))
+    df = opened.groupBy("word").agg(F.sum("size").alias("df")).where("df > 1")
+    # Words of one entry come first in the order, and are in no other.
+    w = Window.partitionBy("id")
+    place = F.row_number().over(w.orderBy("df", "word"))
+    head = place + F.col("len") - F.count(F.lit(1)).over(w) <= F.col("len") - F.ceil(F.col("len") * least) + 1
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    signs = [_sign(_hashes(F.col("words")), k, 2).alias(f"w{k}") for k in range(2)] + [_sign(F.col("e"), 0, 1).alias("e0")]
+    about = lists.select("id", "size", "fresh", "s", F.size("e").alias("named"), *signs)
+    ranked = opened.join(df, "word").select("id", F.xxhash64("word").alias("word"), "len", (place <= p.dedup_terms).alias("rare"), head.alias("head"), idf.alias("idf"))
+    ranked = cut(ranked.join(about, "id"))
+    other = ranked.select("word", F.col("id").alias("o"), *[F.col(c).alias(f"{c}2") for c in ("len", "head", "fresh", "s", "named", "w0", "w1", "e0")])
+    one, none = F.lit(1.0), F.lit(0.0)
+    limit = p.dedup_threshold
+
+    def met(asked: DataFrame, others: DataFrame, text: float) -> DataFrame:
+        # Frequent words are spread over tasks: each asking row goes to one of the copies of the other side.
+        parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        copies = others.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = spread.join(copies.hint("shuffle_hash"), ["word", "part"]).where("(id <> o OR size > 1) AND (fresh OR fresh2)")
+        # What ``fusion_score`` needs of the words, if entities and bigrams were equal; kept short, as it is done for every meeting.
+        felt = "(abs(s) > 0.3D OR abs(s2) > 0.3D)"
+        need = f"(CASE WHEN {felt} THEN ({limit}D - 1e-5D - 0.4D + 0.3D * abs(s - s2) - {0.2 * text}D) / 0.4D ELSE ({limit}D - 1e-5D - 0.5D - {0.3 * text}D) / 0.2D END)"
+        same = "(len - bit_count(w0 & ~w02) - bit_count(w1 & ~w12))"
+        named = f"((e0 & e02) <> 0 OR ((named = 0 OR named2 = 0) AND ({felt} OR {limit}D <= 0.6D)))"
+        return pairs.where(f"(abs(s - s2) <= {p.dedup_gap}D OR NOT {felt}) AND {named}").where(f"{same} * (1 + {need}) >= {need} * (len + len2)")
+
+    rare = met(ranked.where("rare"), other, 1.0).select("id", "o", "idf")
+    rest = met(ranked.where("head AND NOT rare"), other.where("head2"), 0.0).select("id", "o", none.alias("idf"))
+    found = rare.unionByName(rest).groupBy("id", "o").agg(F.round(F.sum("idf"), 6).alias("raw"))
+    both = (F.size("e") > 0) & (F.size("e2") > 0)
+    score = lambda words, grams, named, text: fusion_score(words, grams, named, text, (F.col("s"), F.col("s2")), both, p)
+    light, text = lists.select("id", "e", "s"), classes.select("id", _hashes(X.content_terms(F.col("content"))).alias("w"), _hashes(X.ngrams(F.lower("content"))).alias("g"))
+    second = lambda d: d.select(F.col("id").alias("o"), *[F.col(c).alias(f"{c}2") for c in d.columns if c != "id"])
+    pairs = found.join(light, "id").join(second(light), "o").withColumns({"n": _overlap("e", "e2"), "t": F.least(F.col("raw") / 20, one)})
+    pairs = pairs.where(score(one, one, F.col("n"), F.col("t")) >= p.dedup_threshold)
+    full = pairs.join(text, "id").join(second(text), "o")
+    return full.select("id", "o", score(_overlap("w", "w2"), _overlap("g", "g2"), F.col("n"), F.col("t")).alias("score")).where(F.col("score") >= p.dedup_threshold)
 
 
 def _overlap(a: str, b: str) -> Column:
@@ -79,15 +151,27 @@ def _overlap(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(same / (F.size(a) + F.size(b) - same))
 
 
+def _sign(hashes: Column, k: int, parts: int) -> Column:
+    """Part k of a set's signature: a bit for each of its hashes that belongs there."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 8), F.lit(64)).cast("int"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: F.when(F.pmod(x, F.lit(parts)) == k, acc.bitwiseOR(bit(x))).otherwise(acc))
+
+
 def dedup_marks(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(key, kept, score): entries to be marked invalid, each with the best newer entry that takes its place. Of equal times the smaller key is the older."""
-    scored = dedup_scores(rows, p, p.dedup_threshold)
-    when = rows.select("key", "created")
-    both = scored.join(when, "key").join(when.select(F.col("key").alias("other"), F.col("created").alias("other_created")), "other")
-    lone = F.to_timestamp(F.lit("1970-01-01 00:00:00"))
-    older = F.struct(F.coalesce("created", lone), F.col("key")) < F.struct(F.coalesce("other_created", lone), F.col("other"))
-    marked = both.select(F.when(older, F.col("key")).otherwise(F.col("other")).alias("key"), F.when(older, F.col("other")).otherwise(F.col("key")).alias("kept"), "score")
-    return best(marked, ["key"], [F.desc("score"), F.asc("kept")], 1).select("key", "kept", "score")
+    members = cut(dedup_members(rows))
+    one = dedup_pairs(members.where("first"), p)
+    # The better of both directions. Entries meet classes, so that copies don't meet each other.
+    edges = cut(one.unionByName(one.select(F.col("o").alias("id"), F.col("id").alias("o"), "score")).groupBy("id", "o").agg(F.max("score").alias("score")))
+    entry = members.select("key", "at", "id")
+    newest = entry.groupBy(F.col("id").alias("o")).agg(F.max(F.struct("at", "key")).alias("newest"))
+    asks = entry.join(edges, "id").join(newest, "o").where(F.struct("at", "key") < F.col("newest"))
+    asks = asks.withColumn("r", F.rank().over(Window.partitionBy("key").orderBy(F.desc("score")))).where("r = 1").select("o", "at", "key", "score")
+    line = asks.withColumn("member", F.lit(None).cast("string")).unionByName(entry.select(F.col("id").alias("o"), "at", "key", F.lit(None).cast("double").alias("score"), F.col("key").alias("member")))
+    # An entry comes before itself as a member: only newer ones count.
+    w = Window.partitionBy("o").orderBy(F.desc("at"), F.desc("key"), F.asc_nulls_first("member")).rowsBetween(Window.unboundedPreceding, 0)
+    kept = line.withColumn("kept", F.min("member").over(w)).where("member IS NULL")
+    return kept.groupBy("key").agg(F.min("kept").alias("kept"), F.max("score").alias("score"))
 
 
 def group_eligible(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -170,3 +170,10 @@ def test_every_character_is_in_a_batch(spark):
     assert all(len(r.text) <= 100 for r in got) and sum(r.messages for r in got) == 4
     every = "".join(r.text for r in got)
     assert all(every.count(c) >= n for c, n in (("a", 50), ("b", 230), ("c", 60), ("d", 60)))
+
+
+def test_dedup_marks_all_copies_of_a_large_group(spark):
+    text = "the quick deployment finished on staging cluster yesterday"
+    rows = entries(spark, *[{"key": f"k{i:02d}", "content": text, "created": ts(spark, f"2025-01-{1 + i // 2:02d}"), "intensity": 0.5} for i in range(50)], *[{"key": f"o{i}", "content": f"other words entirely number{i} thing{i}"} for i in range(200)])
+    got = {r.key: r.kept for r in M.dedup_marks(rows).collect() if r.key < "l"}
+    assert set(got) == {f"k{i:02d}" for i in range(49)}
