@@ -157,9 +157,11 @@ def _sign(hashes: Column, k: int, parts: int) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: F.when(F.pmod(x, F.lit(parts)) == k, acc.bitwiseOR(bit(x))).otherwise(acc))
 
 
-def dedup_marks(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(key, kept, score): entries to be marked invalid, each with the best newer entry that takes its place. Of equal times the smaller key is the older."""
-    members = cut(dedup_members(rows))
+def dedup_marks(rows: DataFrame, p: Params = DEFAULT, asking: DataFrame | None = None) -> DataFrame:
+    """(key, kept, score): entries to be marked invalid, each with the best newer entry that takes its place. Of equal times the smaller key is the older.
+
+    With ``asking``, only pairs of which at least one is among those are compared, against all rows."""
+    members = cut(dedup_members(rows, asking))
     one = dedup_pairs(members.where("first"), p)
     # The better of both directions. Entries meet classes, so that copies don't meet each other.
     edges = cut(one.unionByName(one.select(F.col("o").alias("id"), F.col("id").alias("o"), "score")).groupBy("id", "o").agg(F.max("score").alias("score")))

@@ -17,6 +17,7 @@ from engram.operators import search as S
 from engram.operators import topics as T
 from engram.operators import vocabulary as V
 from engram.params import DEFAULT, Params
+from engram.session import cut
 from engram.sources.config import gated
 from engram.sources.schema import TABLES, dimension, evolved
 
@@ -159,11 +160,12 @@ class MemoryStore:
 
     # Maintenance.
     def dedup(self) -> DataFrame:
-        """Marks near-duplicates among entries that weren't checked yet; what was looked at counts as checked."""
-        rows = M.dedup_eligible(E.live(self.entries()), self.table("checked"))
-        marks = M.dedup_marks(rows, self.params)
+        """Marks near-duplicates of entries that weren't checked yet, among all that are valid; what was looked at counts as checked."""
+        rows = M.dedup_eligible(E.live(self.entries()))
+        fresh = cut(M.dedup_eligible(rows, self.table("checked")).select("key"))
+        marks = cut(M.dedup_marks(rows, self.params, fresh))
         self.update(marks, "invalid_at")
-        self.append("checked", rows.select("key"))
+        self.append("checked", fresh)
         return marks
 
     def consolidate(self, merge: Callable[[list[str]], str] = M.first_sentences) -> DataFrame:

@@ -167,3 +167,14 @@ def test_each_write_counts(spark, tmp_path):
     s.feedback(key, True)
     s.append("feedback", s.table("feedback").limit(1))  # delivered again
     assert s.entries().where(F.col("key") == key).first().feedback_score == 2
+
+
+def test_dedup_finds_a_duplicate_of_a_later_run(spark, tmp_path):
+    s = MemoryStore(spark, str(tmp_path), "main", params=P)
+    text = "太棒了!! really GREAT deployment pipeline rotates staging certificates"
+    s.store(rows(spark, text, *[f"other{i} words{i} entirely{i}" for i in range(30)], at="2026-01-01 00:00:00"))
+    assert s.dedup().count() == 0
+    s.store(rows(spark, text + ".", at="2026-02-01 00:00:00"))
+    first, second = (s.entries().where(F.col("content") == t).first().key for t in (text, text + "."))
+    assert [(r.key, r.kept) for r in s.dedup().collect()] == [(first, second)]
+    assert s.dedup().count() == 0
