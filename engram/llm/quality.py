@@ -9,8 +9,8 @@ characters.
 A segment gets the kind of the structural profile nearest to it by Jensen-Shannon divergence (weighted sum over the
 distributions). The document's kind is the one that most of its characters belong to; a text without any visible character
 is junk. Profiles are fitted on the segments of hand-labelled documents, of which at most ``labels_most`` are taken, by
-hash of their id: segments whose neighbours mostly have another label are left out (wrong labels; prose that introduces a
-table), the others of each kind are clustered to a few profiles, for prose thus at least one a language.
+hash of their id: labels that other documents speak against are left out (wrong labels; prose that introduces a
+table), the others of each kind, for prose of each language, are clustered to a few profiles, each shared by several documents.
 
 Scale: one pass over the texts, no shuffle; the fit sees only the labelled documents and brings back only their segments'
 counts (at most ``labels_most`` x 48 rows).
@@ -40,7 +40,9 @@ CHINESE = "的了是在不和也就都而及与着或这那有被把为以从到
 
 LOWER, UPPER, LETTER, HAN_FUNCTION, HAN, DIGIT, SPACE, FINAL, COMMA, DIVIDER, BRACKET, BULLET, SYMBOL, GARBLED, BREAK = range(15)
 CLASSES = 14
-WORD_TYPES, LENGTHS, SHAPES = 6, 5, 48
+WORD_TYPES, LENGTHS, SHAPES = 7, 5, 48
+#: The word type of German function words; English ones have 0.
+GERMAN_WORD = 6
 #: Where each distribution lies in a segment's row of counts, and what its divergence weighs.
 PARTS = ((0, CLASSES, 2.0), (CLASSES, WORD_TYPES, 1.5), (CLASSES + WORD_TYPES, LENGTHS, 1.0), (CLASSES + WORD_TYPES + LENGTHS, SHAPES, 1.0), (CLASSES + WORD_TYPES + LENGTHS + SHAPES, 2, 4.0), (CLASSES + WORD_TYPES + LENGTHS + SHAPES + 2, 2, 4.0))
 WIDTH = PARTS[-1][0] + PARTS[-1][1]
@@ -80,6 +82,7 @@ def _key(word: str) -> int:
 
 
 FUNCTION_KEYS = np.array(sorted({_key(w) for w in ENGLISH + GERMAN if len(w) <= 8}), np.uint64)
+ONLY_GERMAN = np.isin(FUNCTION_KEYS, np.array([_key(w) for w in set(GERMAN) - set(ENGLISH) if len(w) <= 8], np.uint64))
 
 
 def measure(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
@@ -126,7 +129,7 @@ def measure(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
         key[mine] |= np.where(c < 256, c, 255) << np.uint64(8 * j)
     at = np.minimum(np.searchsorted(FUNCTION_KEYS, key), len(FUNCTION_KEYS) - 1)
     common = (FUNCTION_KEYS[at] == key) & (wl <= 8)
-    kind = np.select([common, nd == wl, nd > 0, wl > 20, nu > 0], [0, 3, 4, 5, 2], 1)
+    kind = np.select([common & ONLY_GERMAN[at], common, nd == wl, nd > 0, wl > 20, nu > 0], [GERMAN_WORD, 0, 3, 4, 5, 2], 1)
     size = np.digitize(wl, (2, 4, 7, 11))
     wline = line_of[ws]
     wt = np.bincount(wline * WORD_TYPES + kind, minlength=lines * WORD_TYPES).reshape(lines, WORD_TYPES)
@@ -176,7 +179,7 @@ def measure(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
             "mean_word_length": safe(inside, words),
             "symbol_ratio": safe(marks - inside, marks),
             "punctuated_lines": safe(total(ended.astype(float), doc_of), shown),
-            "common_words": safe(total(wt[:, 0] + m[:, HAN_FUNCTION], doc_of), words),
+            "common_words": safe(total(wt[:, 0] + wt[:, GERMAN_WORD] + m[:, HAN_FUNCTION], doc_of), words),
         }
     )
     return stats, segments, counts
@@ -203,11 +206,13 @@ def distributions(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def entropy(x: np.ndarray) -> np.ndarray:
+    """Weighted entropy of each row, in bits."""
+    return -(x * np.log2(x)) @ WEIGHTS
+
+
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Weighted Jensen-Shannon divergences, in bits, of all rows of p from all rows of q."""
-    def entropy(x: np.ndarray) -> np.ndarray:
-        return -(x * np.log2(x)) @ WEIGHTS
-
     own, other = entropy(p), entropy(q)
     return np.stack([entropy((p + q[k]) / 2) - (own + other[k]) / 2 for k in range(len(q))], 1)
 
@@ -215,49 +220,106 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 WEIGHTS = np.concatenate([np.full(n, w) for _, n, w in PARTS])
 
 
+def clusters(x: np.ndarray, many: int, rng: np.random.Generator) -> np.ndarray:
+    """The cluster of each row, by k-means from distant beginnings."""
+    centres = x[int(rng.integers(len(x)))][None]
+    d = ((x - centres[0]) ** 2).sum(1)
+    while len(centres) < min(many, len(x)) and d.sum() > 1e-12:
+        centres = np.concatenate([centres, x[int(rng.choice(len(x), p=d / d.sum()))][None]])
+        d = np.minimum(d, ((x - centres[-1]) ** 2).sum(1))
+    for _ in range(20):
+        to = np.argmin((centres**2).sum(1) - 2 * x @ centres.T, 1)
+        centres = np.array([x[to == c].mean(0) if (to == c).any() else centres[c] for c in range(len(centres))])
+    return to
+
+
+def language(counts: np.ndarray) -> np.ndarray:
+    """The language a segment's function words belong to: 0 English, 1 German, 2 Chinese; for segments without any, by script."""
+    words = counts[:, CLASSES : CLASSES + WORD_TYPES]
+    han = counts[:, HAN] + counts[:, HAN_FUNCTION]
+    latin = counts[:, LOWER] + counts[:, UPPER] + counts[:, LETTER]
+    return np.where(han * 2 > latin, 2, np.where(words[:, GERMAN_WORD] > words[:, 0], 1, 0))
+
+
 class Profiles:
-    """Structural profiles, fitted on labelled segments."""
+    """Structural profiles, fitted on labelled segments.
 
-    def __init__(self, counts: np.ndarray, kinds: np.ndarray, docs: np.ndarray, each: tuple[int, ...] = (24, 24, 16, 40), neighbours: int = 9, seed: int = 1) -> None:
+    Labels are checked first, each against those of other documents: the nearest segments vote (the nearer, the more, so
+    that a few of the same rare shape outweigh many distant ones). A document whose segments speak against its label is left
+    out whole, a segment that speaks against it (prose that introduces a table) by itself; the second round asks
+    only what passed the first. What is left of each kind, for prose of each language, is clustered several times from
+    different beginnings, to a number of clusters that follows the number of documents. A cluster that fewer than
+    ``support`` documents share is no profile.
+    """
+
+    def __init__(self, counts: np.ndarray, kinds: np.ndarray, docs: np.ndarray, seed: int = 1, support: int = 2, restarts: int = 2, rounds: int = 2) -> None:
         rng = np.random.default_rng(seed)
         p = distributions(counts)
         root = np.sqrt(p * WEIGHTS)
-        keep = np.ones(len(p), bool)
-        if len(p) > neighbours:
-            votes = np.empty((len(p), len(KINDS)))
-            for s in range(0, len(p), 1024):
-                near = -2 * root[s : s + 1024] @ root.T + (root**2).sum(1)
-                near[docs[s : s + 1024, None] == docs[None]] = np.inf
-                best = np.argpartition(near, neighbours, axis=1)[:, :neighbours]
-                votes[s : s + 1024] = np.stack([(kinds[best] == k).sum(1) for k in range(len(KINDS))], 1)
-            keep = votes[np.arange(len(p)), kinds] * 2 >= votes.max(1)
-        self.rows, self.kinds = [], []
-        for k in range(len(KINDS)):
-            mine = np.nonzero(keep & (kinds == k))[0]
-            if not len(mine):
-                continue
-            x = root[mine]
-            centres = [x[int(rng.integers(len(x)))]]
-            for _ in range(min(each[k], len(x)) - 1):  # the farthest first, with chance
-                d = np.min([((x - c) ** 2).sum(1) for c in centres], 0)
-                if d.sum() <= 1e-12:
-                    break
-                centres.append(x[int(rng.choice(len(x), p=d / d.sum()))])
-            centres = np.array(centres)
-            for _ in range(20):
-                to = np.argmin(-2 * x @ centres.T + (centres**2).sum(1), 1)
-                centres = np.array([x[to == c].mean(0) if (to == c).any() else centres[c] for c in range(len(centres))])
-            for c in range(len(centres)):
-                if (to == c).any():
-                    self.rows.append(p[mine[to == c]].mean(0))
-                    self.kinds.append(k)
-        self.rows, self.kinds = np.array(self.rows).reshape(-1, WIDTH), np.array(self.kinds, int)
-        self.usable = len(set(self.kinds.tolist())) >= 2
+        keep = self._agreeing(root, kinds, docs, counts[:, :CLASSES].sum(1), rounds)
+        groups = np.where(kinds == 0, language(counts), 2 + kinds) if len(counts) else kinds
+        rows, of = [], []
+        for g in np.unique(groups[keep]):
+            mine = np.nonzero(keep & (groups == g))[0]
+            many = int(np.clip(len(np.unique(docs[mine])) // 6, 16, 40))
+            for _ in range(restarts):
+                to = clusters(root[mine], many, rng)
+                for c in np.unique(to):
+                    rows_of = mine[to == c]
+                    if len(np.unique(docs[rows_of])) >= support:
+                        rows.append(p[rows_of].mean(0))
+                        of.append(max(0, g - 2))
+        self.rows, self.kinds = np.array(rows).reshape(-1, WIDTH), np.array(of, int)
+        self.usable = len(set(of)) >= 2
+
+    @staticmethod
+    def _agreeing(root: np.ndarray, kinds: np.ndarray, docs: np.ndarray, chars: np.ndarray, rounds: int) -> np.ndarray:
+        """Which segments other documents' segments agree with."""
+        keep, every = np.ones(len(root), bool), np.arange(len(root))
+        names, doc = np.unique(docs, return_inverse=True)
+        label = np.zeros(len(names), int)
+        label[doc] = kinds
+        for _ in range(rounds):
+            base = np.nonzero(keep)[0]
+            near_most = min(int(np.clip(len(names) // 100, 9, 15)), len(base) - 1)
+            if near_most < 3:
+                break
+            votes = np.zeros((len(root), len(KINDS)))
+            for s in range(0, len(root), 1024):
+                part = root[s : s + 1024]
+                d = (part**2).sum(1)[:, None] - 2 * part @ root[base].T + (root[base] ** 2).sum(1)
+                d[docs[s : s + 1024, None] == docs[base][None]] = np.inf
+                best = np.argpartition(d, near_most, axis=1)[:, :near_most]
+                weight = 1 / (np.maximum(np.take_along_axis(d, best, 1), 0) + 0.02) ** 2
+                votes[s : s + 1024] = np.stack([((kinds[base][best] == k) * weight).sum(1) for k in range(len(KINDS))], 1)
+            # The label itself votes like a near segment at a squared distance of a half: where nothing is near, it stays.
+            votes[every, kinds] += near_most / 0.52**2
+            votes /= votes.sum(1, keepdims=True)
+            whole = np.zeros((len(names), len(KINDS)))
+            np.add.at(whole, doc, votes * chars[:, None])
+            good = whole[np.arange(len(names)), label] >= whole.max(1)
+            keep = good[doc] & (votes[every, kinds] >= votes.max(1))
+        return keep
 
     def nearest(self, counts: np.ndarray) -> np.ndarray:
+        """The kind of the nearest profile of each segment.
+
+        With h the squared differences of roots, h / 4 <= divergence in nats <= h log 2 for each distribution and so for
+        weighted sums: profiles whose h is more than 4 log 2 times the least can't be nearest, and aren't compared."""
         if not self.usable:
             return np.zeros(len(counts), int)
-        return self.kinds[np.argmin(divergence(distributions(counts), self.rows), 1)]
+        out, roots = np.empty(len(counts), int), np.sqrt(self.rows * WEIGHTS)
+        own = entropy(self.rows)
+        for s in range(0, len(counts), 2048):
+            p = distributions(counts[s : s + 2048])
+            root = np.sqrt(p * WEIGHTS)
+            h = (root**2).sum(1)[:, None] - 2 * root @ roots.T + (roots**2).sum(1)
+            i, k = np.nonzero(h <= 4 * np.log(2) * h.min(1, keepdims=True) + 1e-9)
+            d = entropy((p[i] + self.rows[k]) / 2) - (entropy(p)[i] + own[k]) / 2
+            order = np.lexsort((k, d, i))
+            first = order[np.searchsorted(i, np.arange(len(p)))]  # i is in order, and stays so
+            out[s : s + 2048] = self.kinds[k[first]]
+        return out
 
 
 def assess(texts: list[str], profiles: Profiles) -> pd.DataFrame:

@@ -49,6 +49,35 @@ def test_held_out_kinds(labelled):
     assert (got == test.kind.values).mean() > 0.92
 
 
+def test_kinds_hardly_depend_on_the_draw():
+    """Ten draws of nine tenths of the labels, each with its own seed, over all documents; some labels are wrong in each."""
+    d, n = (pd.read_parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "doc_labels"))
+    texts = d.text.fillna("").tolist()
+    parts = [(lo, *quality.measure(texts[lo:hi])[1:]) for lo, hi in quality.batches_of(texts)]
+    doc, chars = (np.concatenate([seg[c].values.astype(int) + lo * (c == "doc") for lo, seg, _ in parts]) for c in ("doc", "chars"))
+    counts = np.concatenate([c for _, _, c in parts])
+    label = d.doc_id.map(dict(zip(n.doc_id, n.kind.str.lower().str.strip().map({k: i for i, k in enumerate(quality.KINDS)}))))
+    labelled, kinds = np.nonzero(label.notna())[0], label.fillna(0).astype(int).values
+    found = []
+    for seed in range(10):
+        drawn = np.isin(doc, np.random.default_rng(seed).choice(labelled, len(labelled) * 9 // 10, replace=False))
+        votes = np.zeros((len(texts), len(quality.KINDS)))
+        np.add.at(votes, (doc, quality.Profiles(counts[drawn], kinds[doc[drawn]], doc[drawn], seed=seed).nearest(counts)), chars)
+        found.append(np.where(votes.sum(1) > 0, votes.argmax(1), 3))
+    agreed = np.array([np.bincount(x, minlength=4).argmax() for x in np.array(found).T])
+    for got in found:
+        same = ((got == agreed) & (agreed != 0)).sum()
+        assert same / (got != 0).sum() >= 0.95 and same / (agreed != 0).sum() >= 0.95
+    assert (agreed[labelled] == kinds[labelled]).mean() > 0.94
+
+
+def test_pruned_profiles_give_the_nearest(labelled):
+    _, seg, counts = quality.measure(labelled.text.tolist())
+    at = seg["doc"].values.astype(int)
+    profiles = quality.Profiles(counts, np.array([quality.KINDS.index(k) for k in labelled.kind])[at], labelled.doc_id.values[at])
+    assert (profiles.nearest(counts) == profiles.kinds[quality.divergence(quality.distributions(counts), profiles.rows).argmin(1)]).all()
+
+
 def test_kinds_of_odd_texts(spark, labelled):
     docs = spark.createDataFrame([(1, None, "clash"), (2, "", "x"), (3, " \n\t ", "x"), (4, "The team restored the backup because the disk was full. " * 4000, "x"), (5, "x", "x"), (6, "…", "x")], "doc_id long, text string, kind string")
     none = spark.createDataFrame([], "doc_id long, kind string")
