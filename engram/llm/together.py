@@ -12,7 +12,7 @@ table gives an empty result. Pairs are ordered by code point. Only key and items
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.terms import records
@@ -43,6 +43,11 @@ def basket_pairs(lists: DataFrame, block: int = 64) -> DataFrame:
     return small.unionByName(large)
 
 
+def lift(n_ab: Column, n_a: Column, n_b: Column, total: Column) -> Column:
+    """How many times more often than by chance; in doubles, since products of counts don't fit into 64 bits."""
+    return n_ab.cast("double") * total.cast("double") / (n_a.cast("double") * n_b.cast("double"))
+
+
 def appear_together(df: DataFrame, key: str, items: str, least: int = 1, block: int = 64) -> DataFrame:
     """(item_a, item_b, records, lift) of pairs in at least ``least`` records; lift is n_ab N / (n_a n_b)."""
     lists = baskets(df, key, items)
@@ -50,5 +55,5 @@ def appear_together(df: DataFrame, key: str, items: str, least: int = 1, block:
     counts = lists.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     pairs = basket_pairs(lists, block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= least)
     a, b = (counts.select(F.col("item").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    lift = F.col("n_ab") * F.lit(total) / (F.col("n_a") * F.col("n_b"))
-    return pairs.join(a, "a").join(b, "b").select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), F.col("n_ab").alias("records"), lift.alias("lift"))
+    score = lift(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.lit(total))
+    return pairs.join(a, "a").join(b, "b").select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), F.col("n_ab").alias("records"), score.alias("lift"))

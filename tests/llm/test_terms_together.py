@@ -66,3 +66,10 @@ def test_huge_basket(spark):
     got = together.appear_together(df, "key", "entities", block=64)
     assert got.count() == 300 * 299 // 2
     assert [(r.item_a, r.item_b) for r in got.where("records = 2").collect()] == [("i0000", "i0001")]
+
+
+def test_lift_of_billions_of_records(spark):
+    many = 5_000_000_000
+    df = spark.createDataFrame([(many, many, many, many), (3_000_000_000, 4_000_000_000, 4_000_000_000, many), (20, 20, many, many)], "ab long, a long, b long, n long")
+    got = [r.x for r in df.select(together.lift(*map(F.col, ("ab", "a", "b", "n"))).alias("x")).collect()]
+    assert got == [1.0, 3e9 * 5e9 / (4e9 * 4e9), 1.0]
