@@ -11,7 +11,7 @@ full capacity and a rest.
 
 Both steps move as many containers of a kind at a time as there are, so the plan's length depends on the capacity
 alone. It is a list of runs "the texts number i .. i+q-1 of size s go to containers b .. b+q-1". Each text then
-gets its number within its size without collecting a size into one task: sizes are split into ``lanes`` by a
+gets its number within its size without collecting a size into one task: sizes are split into ``lanes`` (more for more texts) by a
 hash of the id, numbered within their lane, and shifted by the counts of the lanes before. The run is found by
 binary search. The same input gives the same packing.
 
@@ -23,6 +23,7 @@ table gives an empty result. Extra columns are not carried along.
 from __future__ import annotations
 
 import base64
+import functools
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -35,23 +36,34 @@ from pyspark.sql.window import Window
 from engram.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+VOCABULARY_MOST = 50_000_000
 #: Splits before byte pairs are merged: contractions, words, numbers, other characters, white space.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def encoding(path: str):
+def vocabulary(path: str) -> bytes:
+    """The vocabulary file, read on the driver, so that executors need no file of that name. Its size is checked before it is sent to them."""
+    with open(path, "rb") as f:
+        held = f.read(VOCABULARY_MOST + 1)
+    if len(held) > VOCABULARY_MOST:
+        raise ValueError(f"{path}: more than {VOCABULARY_MOST} bytes")
+    return held
+
+
+@functools.lru_cache(maxsize=2)
+def encoding(held: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.splitlines())}
     return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(df: DataFrame, id_column: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(id, tokens) of every row; whole texts are encoded."""
+    held = df.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoding(tokenizer)
+        own = encoding(held.value)
         for pdf in batches:
             yield pd.DataFrame({"id": pdf.id, "tokens": np.array([len(own.encode_ordinary(t)) if t else 0 for t in pdf.text], np.int64)})
 
@@ -135,6 +147,11 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return runs, bins
 
 
+def lanes_for(rows: int) -> int:
+    """Lanes by the number of texts: one size may hold any share of them, and a lane should hold no more than about a million."""
+    return min(1024, max(64, -(-rows // 1_000_000)))
+
+
 def pack(sized: DataFrame, capacity: int, lanes: int = 64) -> DataFrame:
     """(id, piece, tokens, container) of (id, tokens): pieces of texts longer than the capacity are numbered from 0."""
     full = F.floor(F.col("tokens") / capacity).cast("long")
@@ -144,10 +161,10 @@ def pack(sized: DataFrame, capacity: int, lanes: int = 64) -> DataFrame:
     pieces = sized.select("id", F.posexplode(sizes).alias("piece", "tokens")).withColumn("lane", lane)
     numbered = cut(pieces.withColumn("number", F.row_number().over(Window.partitionBy("tokens", "lane").orderBy("id", "piece")) - 1))
     # At most (capacity + 1) x lanes rows, whatever the input.
-    table = numbered.groupBy("tokens", "lane").agg(F.count(F.lit(1)).alias("n")).collect()
+    table = numbered.groupBy("tokens", "lane").agg(F.count(F.lit(1)).alias("n")).toPandas()
     counts: dict[int, int] = {}
     shift: dict[int, np.ndarray] = {}
-    for r in sorted(table, key=lambda r: (r.tokens, r.lane)):
+    for r in table.sort_values(["tokens", "lane"]).itertuples():
         shift.setdefault(r.tokens, np.zeros(lanes, np.int64))[r.lane] = counts.get(r.tokens, 0)
         counts[r.tokens] = counts.get(r.tokens, 0) + r.n
     runs, bins = plan(counts, capacity)
@@ -181,4 +198,4 @@ def pack(sized: DataFrame, capacity: int, lanes: int = 64) -> DataFrame:
 
 def pack_texts(df: DataFrame, id_column: str, text: str, capacity: int = 2048, tokenizer: str = TOKENIZER) -> DataFrame:
     """(id, piece, tokens, container) for the texts of a table."""
-    return pack(token_counts(df, id_column, text, tokenizer), capacity)
+    return pack(token_counts(df, id_column, text, tokenizer), capacity, lanes_for(df.select(id_column).count()))
