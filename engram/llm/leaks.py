@@ -5,15 +5,17 @@ unbroken run of other letters and digits. Test phrases are all windows of ``wind
 
 Each task streams its documents into shards of about ``shard_units`` indexed units. The alphabet of a shard is the
 units that occur in any test phrase; every other unit, and every document's end, is a separator, of which one stands for
-several in a row. (A phrase holds no separator, so nothing can be lost by this, and the index needs memory only for
-what a phrase could touch. Every unit of every document is read and mapped.) Over that text stand a suffix array by prefix
+several in a row. Runs between separators that are shorter than a phrase are separators too. (A phrase holds no separator,
+so nothing can be lost by this, and the index needs memory only for what a phrase could touch. Every unit of every
+document is read and mapped.) Over that text stand a suffix array by prefix
 doubling, its Burrows-Wheeler transform in a wavelet matrix with rank tables, and sampled suffix positions: each 16th
 and every first position after a separator, so that a walk never has to cross one. All phrases are searched backward at
 once, a vector of intervals per step; what is found is located by walking to samples; windows of one document and item
 that overlap or touch are merged to spans.
 
 Scale: no document leaves its task before it matches; only spans are returned. Items are held in blocks of at most
-``block_units`` units, each block a pass over the documents; their number follows the test material, not the corpus. A
+``block_units`` units, of which a pass over the documents, which cuts them into units once, takes ``blocks_a_pass``; their number
+follows the test material, not the corpus. A
 document is never cut; one longer than a shard is a shard of its own.
 
 Defined results: null or empty texts and items with fewer than ``window`` units match nothing; items that share a phrase are
@@ -182,6 +184,12 @@ def expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[which], which
 
 
+def long_runs(mapped: np.ndarray, window: int) -> np.ndarray:
+    """The units with runs between separators that are shorter than a phrase set to 0."""
+    edges = np.concatenate([[-1], np.nonzero(mapped == 0)[0], [len(mapped)]])
+    return np.where(np.repeat(np.diff(edges) > window, np.diff(edges))[: len(mapped)], mapped, 0)
+
+
 def shard_spans(docs: list, texts: list[np.ndarray], phrases: Phrases) -> pd.DataFrame:
     """Spans of one shard; texts are mapped units, 0 for those outside the alphabet."""
     parts, unit, doc = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
@@ -213,7 +221,7 @@ def shard_spans(docs: list, texts: list[np.ndarray], phrases: Phrases) -> pd.Dat
     return pd.DataFrame({"doc_id": pd.array([docs[x] for x in d[first]], dtype="Int64"), "item_id": item[first], "start": start[first], "end": start[last] + phrases.window})
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, shard_units: int = 1_000_000, block_units: int = 2_000_000) -> DataFrame:
+def leaked_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, shard_units: int = 1_000_000, block_units: int = 500_000, blocks_a_pass: int = 4) -> DataFrame:
     """(doc_id, item_id, start, end): merged spans, in units of the document, that hold text of the item."""
     known = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     # A unit has at least one character: blocks by characters are blocks of at most as many units.
@@ -221,36 +229,41 @@ def leaked_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     blocks = max(1, -(-size // block_units))
     narrow = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for b in range(blocks):
-        mine = known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
-        part = _block_spans(narrow, Phrases([(r.i, r.t) for r in mine], window), shard_units)
+    for first in range(0, blocks, blocks_a_pass):
+        held = []
+        for b in range(first, min(blocks, first + blocks_a_pass)):
+            mine = known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
+            held.append(Phrases([(r.i, r.t) for r in mine], window))
+        part = _pass_spans(narrow, [p for p in held if len(p.matrix)], shard_units)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _block_spans(narrow: DataFrame, phrases: Phrases, shard_units: int) -> DataFrame:
+def _pass_spans(narrow: DataFrame, phrases: list[Phrases], shard_units: int) -> DataFrame:
     held = narrow.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = held.value
-        look = p.numbers.get
-        docs, texts, indexed = [], [], 0
+        # Of each block the documents and units that wait for the shard to be full, and how many are indexed.
+        waiting = [[p, [], [], 0] for p in held.value]
         for pdf in batches:
             for d, t in zip(pdf.doc_id.astype("Int64"), pdf.text):
                 u = units(t)
-                mapped = np.fromiter((look(x, 0) for x in u), np.int64, len(u))
-                if not mapped.any():
-                    continue
-                docs.append(None if d is pd.NA else int(d))
-                texts.append(mapped)
-                indexed += int(np.count_nonzero(mapped))
-                if indexed >= shard_units:
-                    yield shard_spans(docs, texts, p)
-                    docs, texts, indexed = [], [], 0
-        if docs:
-            yield shard_spans(docs, texts, p)
-
-    if not len(phrases.matrix):
+                for w in waiting:
+                    look = w[0].numbers.get
+                    mapped = long_runs(np.fromiter((look(x, 0) for x in u), np.int64, len(u)), w[0].window)
+                    if not mapped.any():
+                        continue
+                    w[1].append(None if d is pd.NA else int(d))
+                    w[2].append(mapped)
+                    w[3] += int(np.count_nonzero(mapped))
+                    if w[3] >= shard_units:
+                        yield shard_spans(w[1], w[2], w[0])
+                        w[1:] = [], [], 0
+        for p, docs, texts, _ in waiting:
+            if docs:
+                yield shard_spans(docs, texts, p)
+
+    if not phrases:
         return narrow.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, end long")
     return narrow.mapInPandas(run, "doc_id long, item_id long, start long, end long")
 

@@ -23,6 +23,10 @@ def test_plan_is_a_packing(capacity, counts):
     assert (load * 2 <= capacity).sum() <= 1
 
 
+def test_lanes_follow_the_rows():
+    assert [packing.lanes_for(n) for n in (0, 10**6, 10**9, 10**12)] == [64, 64, 1000, 1024]
+
+
 def test_large_sizes_pair():
     runs, bins = packing.plan({60: 3, 40: 3, 35: 2}, 100)
     assert bins == 4
@@ -52,7 +56,7 @@ def test_pack_is_repeatable_and_tight(spark):
 def test_texts(spark):
     long = "word and 数据 " * 20000
     df = spark.createDataFrame([(1, "hello world", "clash"), (2, None, "x"), (3, "", "x"), (4, long, "x")], "doc_id long, text string, tokens string")
-    own = packing.encoding(packing.TOKENIZER)
+    own = packing.encoding(packing.vocabulary(packing.TOKENIZER))
     assert {r.id: r.tokens for r in packing.token_counts(df, "doc_id", "text").collect()} == {"1": len(own.encode_ordinary("hello world")), "2": 0, "3": 0, "4": len(own.encode_ordinary(long))}
     rows = packing.pack_texts(df, "doc_id", "text", 512).collect()
     assert sum(r.tokens for r in rows if r.id == "4") == len(own.encode_ordinary(long))
@@ -123,12 +127,18 @@ def test_leaks_against_brute_force(spark):
     it = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, doc_id string")
     want = brute(docs, items, 5)
     assert len(want) > 10
-    for options in ({}, {"shard_units": 50}, {"block_units": 300}):
+    for options in ({}, {"shard_units": 50}, {"block_units": 300}, {"block_units": 300, "blocks_a_pass": 1}):
         rows = leaks.leaks(df, it, window=5, **options).collect()
         assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
     assert leaks.leaks(df.where("false"), it).count() == leaks.leaks(df, it.where("false")).count() == 0
 
 
+def test_short_runs_are_separators():
+    t = np.array([1, 2, 0, 0, 3, 4, 5, 0, 6, 7, 8, 9])
+    assert list(leaks.long_runs(t, 3)) == [0, 0, 0, 0, 3, 4, 5, 0, 6, 7, 8, 9] and list(leaks.long_runs(t, 4)) == [0] * 8 + [6, 7, 8, 9]
+    assert list(leaks.long_runs(np.zeros(0, int), 3)) == [] and list(leaks.long_runs(np.ones(2, int), 2)) == [1, 1]
+
+
 def test_spans_merge(spark):
     df = spark.createDataFrame([(1, "x a b c d e f y a b c")], "doc_id long, text string")
     it = spark.createDataFrame([(1, "a b c d e f"), (2, "b c d")], "item_id long, text string")
