@@ -1,22 +1,28 @@
 """The most similar vectors of every vector, by vantage-point trees.
 
 The distance is the chord between unit vectors, d^2 = 2 - 2 cos, which is a metric. The top of the tree is fitted on a
-bounded sample (``sample_most`` vectors, taken by hash of their class): each node has a vantage point and the median
-distance to it. Its leaves are the shards; every vector is indexed in its shard, and goes as a query to each shard that
-the triangle inequality doesn't exclude. In a shard (and block of queries) a vantage-point tree over all its vectors is
-built and searched for a whole block at a time; leaves are compared by a matrix product.
+bounded sample (``sample_most`` vectors or 16 a shard, taken by hash of their class): each node has a vantage point and the
+median distance to it. Its leaves are the shards; every vector is indexed in its shard, and goes as a query to each shard
+that the triangle inequality doesn't exclude. In a shard (and block of queries) a vantage-point tree over all its vectors
+is built and searched for a whole block at a time; leaves are compared by a matrix product in single precision, and what
+may reach a place is computed again in double precision.
 
 Pruning is relaxed by ``factor``: a side is skipped where it lies further from the query's distance than tau / factor, tau
-being the distance of the k-th best so far (or that of ``min_cosine``). Factor 1 restores exact search. Cosines of what
-is found are computed in double precision from the raw vectors.
+being the distance of the k-th best so far (or that of ``min_cosine``). Factor 1 restores exact search.
 
-Scale: rows whose vectors are equal form one class, which is indexed and searched once; members are only expanded at the
-end, each to k rows, so copies cost nothing. Shards of more than twice ``shard_rows`` are cut into parts, queries of a shard
-into blocks of ``block_rows``, so no task holds more than one part and one block.
+Cosines count to 12 decimals; equal ones go to the smaller key. Rows of one direction (equal unit vectors) form one class,
+which bears the name of its smallest key, is indexed and searched once, and is expanded at the end, each member to k rows.
+In the order (cosine, smallest key) a class outside the first k can't hold any of the k keys that are asked for, as each
+class before it has a key that comes first; so k classes are kept, and no tie is lost however many there are. Directions
+that differ by rounding only (a vector and its multiples in 32 bits) are classes of their own that no median divides: a
+node whose vectors all lie within ``BALL`` is a ball, whose members take its smallest keys without being compared.
+
+Scale: shards of more than twice ``shard_rows`` are cut into parts, queries of a shard into blocks of ``block_rows``, so no
+task holds more than one part and one block. The driver holds the sample and the sizes of at most 2^depth_most shards.
 
 Defined results: usable vectors have ``dim`` finite components, not all zero; others are left out, as are null keys; of
-several usable vectors of one key the greatest counts; a key is never its own neighbour; ties in cosine (to 12
-decimals) go to the smaller key; an empty table gives an empty result.
+several usable vectors of one key the greatest counts; a key is never its own neighbour; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -26,14 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from engram.operators.search import best
 from engram.session import cut
 
-#: Keys of one class that can matter to another key: k and one more, in case the key itself is among them.
-SALTS = 256
+#: Unit vectors this close to a third one have a cosine of 1 to 12 decimals.
+BALL = 2e-7
+DECIMALS = 12
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -88,7 +95,7 @@ def chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class VantageTree:
-    """A vantage-point tree over unit vectors, searched for many queries at once."""
+    """A vantage-point tree over unit vectors in order of their keys, searched for many queries at once."""
 
     def __init__(self, x: np.ndarray, leaf: int = 256, seed: int = 5) -> None:
         self.x, self.x32, self.leaf, self.rng = x, x.astype(np.float32), leaf, np.random.default_rng(seed)
@@ -96,27 +103,29 @@ class VantageTree:
         self.root = self._build(np.arange(len(x)))
 
     def _build(self, ids: np.ndarray):
+        """A leaf is a list of numbers in order, a node (vantage point, median, inner, outer), a ball (a member, its numbers)."""
         if len(ids) <= self.leaf:
             return ids
         vp = int(self.rng.choice(ids))
-        d = chord(self.x32[ids], self.x32[vp][None])[:, 0]
+        d = chord(self.x[ids], self.x[vp][None])[:, 0]
+        if d.max() <= 10 * BALL and self._near(self.x[ids], vp).all():
+            return vp, ids
         mu = float(np.median(d))
         inner, outer = ids[d <= mu], ids[d > mu]
         if not len(outer):
             return ids
         return vp, mu, self._build(inner), self._build(outer)
 
+    def _near(self, x: np.ndarray, vp: int) -> np.ndarray:
+        return np.linalg.norm(x - self.x[vp], axis=1) <= BALL
+
     def search(self, q: np.ndarray, k: int, min_cosine: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, cosines), n x k, best first; -1 and -inf where fewer reach min_cosine."""
-        self.q = q.astype(np.float32)
-        self.ids, self.cos = np.full((len(q), k), -1), np.full((len(q), k), -np.inf, np.float32)
-        self.k, self.floor, self.factor = k, np.float32(min_cosine) - np.float32(1e-5), factor
+        """(ids, cosines), n x k, the highest cosine and of equal ones the smallest number first; -1 and -inf where fewer reach min_cosine."""
+        self.q, self.q32 = q, q.astype(np.float32)
+        self.ids, self.cos = np.full((len(q), k), -1), np.full((len(q), k), -np.inf)
+        self.k, self.floor, self.factor = k, min_cosine, factor
         self._visit(self.root, np.arange(len(q)))
-        exact = np.where(self.ids >= 0, np.einsum("nd,nkd->nk", q, self.x[self.ids]), -np.inf)
-        exact[exact < min_cosine] = -np.inf
-        order = np.argsort(-exact, axis=1, kind="stable")
-        exact = np.take_along_axis(exact, order, 1)
-        return np.where(np.isfinite(exact), np.take_along_axis(self.ids, order, 1), -1), exact
+        return self.ids, self.cos
 
     def _visit(self, node, rows: np.ndarray) -> None:
         if not len(rows):
@@ -124,33 +133,47 @@ class VantageTree:
         if isinstance(node, np.ndarray):
             self._compare(node, rows)
             return
+        if len(node) == 2:
+            vp, ids = node
+            inside = self._near(self.q[rows], vp)
+            first = np.broadcast_to(ids[: self.k], (int(inside.sum()), min(self.k, len(ids))))
+            self._keep(rows[inside], first, np.ones(first.shape))
+            self._compare(ids, rows[~inside])
+            return
         vp, mu, inner, outer = node
-        d = chord(self.q[rows], self.x32[vp][None])[:, 0]
+        d = chord(self.q[rows], self.x[vp][None])[:, 0]
         near = d <= mu
         self._visit(inner, rows[near])
         self._visit(outer, rows[~near])
         # Distances to the k-th best have shrunk by now.
-        tau = np.sqrt(np.maximum(0, 2 - 2 * np.maximum(self.cos[rows].min(1), self.floor))) / self.factor + 1e-6
+        tau = np.sqrt(np.maximum(0, 2 - 2 * np.maximum(self.cos[rows, -1], self.floor))) / self.factor + 2e-6
         self._visit(inner, rows[~near & (d - mu <= tau)])
         self._visit(outer, rows[near & (mu - d <= tau)])
 
     def _compare(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.compared += len(ids) * len(rows)
-        for s in range(0, len(rows), 4096):
-            part = rows[s : s + 4096]
-            sims = self.q[part] @ self.x32[ids].T
-            hit = np.nonzero(sims.max(1) >= np.maximum(self.cos[part].min(1), self.floor))[0]
-            if len(hit):
-                all_cos = np.hstack([self.cos[part[hit]], np.where(sims[hit] >= self.floor, sims[hit], -np.inf)])
-                all_ids = np.hstack([self.ids[part[hit]], np.broadcast_to(ids, (len(hit), len(ids)))])
-                best = np.argpartition(-all_cos, self.k - 1, axis=1)[:, : self.k]
-                self.cos[part[hit]] = np.take_along_axis(all_cos, best, 1)
-                found = np.take_along_axis(all_ids, best, 1)
-                self.ids[part[hit]] = np.where(np.isfinite(self.cos[part[hit]]), found, -1)
-
-
-def similar_classes(classes: DataFrame, dim: int, k: int, min_cosine: float, factor: float, shard_rows: int | None = None, block_rows: int | None = None, sample_most: int = 8192, depth_most: int = 10) -> DataFrame:
-    """(q, b, cosine): of each class its k best others and a few more, of at least min_cosine."""
+        for c in range(0, len(ids), 2048):
+            part_ids = ids[c : c + 2048]
+            for s in range(0, len(rows), 4096):
+                part = rows[s : s + 4096]
+                sims = self.q32[part] @ self.x32[part_ids].T
+                hit = part[sims.max(1) >= np.maximum(self.cos[part, -1], self.floor) - 1e-5]
+                if len(hit):
+                    exact = np.round(self.q[hit] @ self.x[part_ids].T, DECIMALS)
+                    best = np.argsort(-exact, axis=1, kind="stable")[:, : self.k]
+                    self._keep(hit, part_ids[best], np.take_along_axis(exact, best, 1))
+
+    def _keep(self, rows: np.ndarray, ids: np.ndarray, cos: np.ndarray) -> None:
+        """Merges what was found into the best of the rows."""
+        cos = np.hstack([self.cos[rows], np.where(cos >= self.floor, cos, -np.inf)])
+        ids = np.hstack([self.ids[rows], ids])
+        best = np.lexsort((ids, -cos), axis=1)[:, : self.k]
+        self.cos[rows] = np.take_along_axis(cos, best, 1)
+        self.ids[rows] = np.where(np.isfinite(self.cos[rows]), np.take_along_axis(ids, best, 1), -1)
+
+
+def similar_classes(classes: DataFrame, dim: int, k: int, min_cosine: float, factor: float, shard_rows: int | None = None, block_rows: int | None = None, sample_most: int = 8192, depth_most: int = 14) -> DataFrame:
+    """(q, b, cosine): of each class (named by its smallest key) its k best others of at least min_cosine."""
     packed = classes.select("cls", "v")
     n = packed.count()
     # Rows are copied n^2 (1 / block_rows + 1 / shard_rows) times at most: both as large as memory allows (some 150 MB a task),
@@ -158,8 +181,7 @@ def similar_classes(classes: DataFrame, dim: int, k: int, min_cosine: float, fac
     fitting = min(65536, max(4096, -(-n // 4)))
     shard_rows, block_rows = shard_rows or fitting, block_rows or fitting
     depth = min(depth_most, max(0, math.ceil(math.log2(max(1, n) / shard_rows))))
-    sample = packed.orderBy(F.xxhash64("cls"), "cls").limit(sample_most if depth else 0).collect()
-    tree = TopTree(_unit([np.asarray(r.v, np.float64).tobytes() for r in sample], dim) if sample else np.zeros((0, dim)), depth)
+    tree = TopTree(_sample(packed, n, max(sample_most, 16 << depth) if depth else 0, dim), depth)
     reach = math.sqrt(max(0.0, 2 - 2 * min_cosine)) / factor
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,53 +199,75 @@ def similar_classes(classes: DataFrame, dim: int, k: int, min_cosine: float, fac
     # One row a class; copies of queries are made behind the checkpoint.
     routed = cut(packed.mapInPandas(route, "cls string, vec binary, home int, shards array<int>"))
     count = lambda c: {r.shard: r.n for r in routed.select(c.alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # At most 2^depth_most shards: their sizes are small tables.
+    # At most 2^depth_most shards: their sizes are small tables, and may be broadcast.
     held, asked = count(F.col("home")), count(F.explode("shards"))
-    parts_of = lambda n, size: F.lit(max(1, math.ceil(n / size)))
-    cuts = F.create_map(*[x for s in sorted(held | asked) or [0] for x in (F.lit(s), F.array(parts_of(held.get(s, 0), 2 * shard_rows), parts_of(asked.get(s, 0), block_rows)))])
+    parts_of = lambda n, size: max(1, math.ceil(n / size))
+    sizes = [(s, parts_of(held.get(s, 0), 2 * shard_rows), parts_of(asked.get(s, 0), block_rows)) for s in sorted(held | asked)]
+    cuts = F.broadcast(classes.sparkSession.createDataFrame(sizes, "shard int, parts int, blocks int"))
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
 
     def spread(shard, query: bool, part, block) -> DataFrame:
-        rows = routed.select(shard.alias("shard"), F.lit(query).alias("query"), "cls", "vec", F.xxhash64("cls").alias("h"))
-        rows = rows.withColumns({"parts": cuts[F.col("shard")][0], "blocks": cuts[F.col("shard")][1]})
+        rows = routed.select(shard.alias("shard"), F.lit(query).alias("query"), "cls", "vec", F.xxhash64("cls").alias("h")).join(cuts, "shard")
         return rows.withColumn("part", part).withColumn("block", block).select("shard", "part", "block", "query", "cls", "vec")
 
     base = spread(F.col("home"), False, F.pmod("h", "parts").cast("int"), F.explode(every("blocks")))
     asks = spread(F.explode("shards"), True, F.explode(every("parts")), F.pmod("h", "blocks").cast("int"))
-    wide = k + 6
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         out = {"q": [], "b": [], "cosine": []}
         b, q = rows[~rows["query"]], rows[rows["query"]]
         if len(b) and len(q):
             b = b.sort_values("cls")
-            ids, cos = VantageTree(_unit(b.vec.values, dim)).search(_unit(q.vec.values, dim), wide, min_cosine, factor)
+            # One more than k: the query finds itself.
+            ids, cos = VantageTree(_unit(b.vec.values, dim)).search(_unit(q.vec.values, dim), k + 1, min_cosine, factor)
             i, j = np.nonzero(ids >= 0)
             out = {"q": q["cls"].values[i], "b": b["cls"].values[ids[i, j]], "cosine": cos[i, j]}
         out = pd.DataFrame(out)
         return out[out.q != out.b].astype({"cosine": "float64"})
 
     found = base.unionByName(asks).groupBy("shard", "part", "block").applyInPandas(search, "q string, b string, cosine double")
-    best = Window.partitionBy("q").orderBy(F.round("cosine", 12).desc(), "b")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= wide - 1).drop("place")
+    return best(found, ["q"], [F.desc("cosine"), F.asc("b")], k).drop("place")
+
+
+def _sample(packed: DataFrame, n: int, most: int, dim: int) -> np.ndarray:
+    """At most ``most`` unit vectors, by hash; the filter keeps about twice as many of the whole table for the driver to choose from."""
+    if not most:
+        return np.zeros((0, dim))
+    whole = 1 << 40
+    share = min(whole, math.ceil(2 * most / max(1, n) * whole))
+    rows = packed.where(F.pmod(F.xxhash64("cls"), F.lit(whole)) < share).orderBy(F.xxhash64("cls"), "cls").limit(most).collect()
+    return _unit([np.asarray(r.v, np.float64).tobytes() for r in rows], dim) if rows else np.zeros((0, dim))
+
+
+def direction(v: Column) -> Column:
+    """A name for the unit vector: equal for a vector and its multiples, as far as they divide without rounding."""
+    # -0.0 + 0.0 = 0.0: equal vectors have equal strings.
+    name = lambda high, norm: F.md5(F.array_join(F.transform(v, lambda x: (x / high / norm + F.lit(0.0)).cast("string")), ","))
+    norm = lambda high: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x / high) * (x / high)))
+    return _let(F.array_max(F.transform(v, F.abs)), lambda high: _let(norm(high), lambda n: name(high, n)))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once and not once for each element that uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def most_similar(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, min_cosine: float = -1.0, factor: float = 1.0, **sizes: int) -> DataFrame:
     """(key, neighbour, cosine): for each usable key the k others of the highest cosine, of those the ones that reach min_cosine."""
-    # -0.0 + 0.0 = 0.0: equal vectors have equal strings.
-    rows = usable_vectors(df, key, vector, dim).withColumn("cls", F.md5(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ",")))
-    few = lambda c: F.slice(F.array_sort(c), 1, k + 1)
-    # A class may hold a third of all rows: its keys are cut to the k + 1 smallest in salted groups first.
-    salted = rows.groupBy("cls", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt")).agg(few(F.collect_set("key")).alias("keys"), F.max("v").alias("v"))
-    classes = cut(salted.groupBy("cls").agg(few(F.flatten(F.collect_list("keys"))).alias("keys"), F.max("v").alias("v")))
+    rows = usable_vectors(df, key, vector, dim).withColumn("dir", direction(F.col("v")))
+    # A direction may hold a third of all rows: each input partition sends on its k + 1 smallest keys.
+    few = best(rows, ["dir"], [F.asc("key")], k + 1)
+    entry = lambda c: F.array_sort(F.collect_list(c))
+    classes = cut(few.groupBy("dir").agg(entry("key").alias("keys"), F.min_by("v", "key").alias("v")).withColumn("cls", F.col("keys")[0]))
     found = similar_classes(classes, dim, k, min_cosine, factor, **sizes)
-    entry = lambda cosine, keys: F.transform(keys, lambda x: F.struct((-F.round(cosine, 12)).alias("far"), x.alias("key"), cosine.alias("cosine")))
-    near = found.join(classes.select(F.col("cls").alias("b"), "keys"), "b").groupBy(F.col("q").alias("cls")).agg(F.flatten(F.collect_list(entry(F.col("cosine"), F.col("keys")))).alias("near"))
-    none = F.array().cast("array<struct<far:double,key:string,cosine:double>>")
-    offers = classes.join(near, "cls", "left").select("cls", F.concat(entry(F.lit(1.0), F.col("keys")), F.coalesce("near", none)).alias("offers"))
-    mine = rows.select("key", "cls").join(offers, "cls")
+    offer = lambda cosine, keys: F.transform(keys, lambda x: F.struct((-cosine).alias("far"), x.alias("key")))
+    near = found.join(classes.select(F.col("cls").alias("b"), "keys"), "b").groupBy(F.col("q").alias("cls")).agg(F.flatten(F.collect_list(offer(F.col("cosine"), F.col("keys")))).alias("near"))
+    none = F.array().cast("array<struct<far:double,key:string>>")
+    offers = classes.join(near, "cls", "left").select("dir", F.concat(offer(F.lit(1.0), F.col("keys")), F.coalesce("near", none)).alias("offers"))
+    # Rows of a hot direction meet one row of offers; adaptive execution splits them.
+    mine = rows.select("key", "dir").join(offers, "dir")
     chosen = F.slice(F.array_sort(F.filter("offers", lambda x: x["key"] != F.col("key"))), 1, k)
-    out = mine.select("key", F.explode(chosen).alias("o")).select("key", F.col("o.key").alias("neighbour"), F.col("o.cosine").alias("cosine"))
+    out = mine.select("key", F.explode(chosen).alias("o")).select("key", F.col("o.key").alias("neighbour"), (-F.col("o.far")).alias("cosine"))
     return out.where(F.col("cosine") >= min_cosine)
 
 

@@ -47,6 +47,29 @@ def test_copies_take_the_smallest_keys(spark):
     assert len(pairs) == len(set(pairs)) and all(p.key_a < p.key_b for p in pairs)
 
 
+def test_multiples_of_one_direction(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=8)
+    rows = [(f"k{i:03d}", v * s) for i, s in enumerate(rng.uniform(0.1, 9, 700))] + [(f"m{i:03d}", v * 2.0**i) for i in range(30)] + [("z", v + 0.05)] + [(f"r{i}", rng.normal(size=8)) for i in range(40)]
+    order = rng.permutation(len(rows))
+    for factor in (1.0, 4.0):
+        got = {}
+        for r in similar.most_similar(vectors(spark, [rows[i] for i in order]), "key", "embedding", 8, 5, 0.9, factor).collect():
+            got.setdefault(r.key, set()).add(r.neighbour)
+        first = [f"k{i:03d}" for i in range(6)]
+        assert all(got[k] == set([x for x in first if x != k][:5]) for k, _ in rows if k[0] in "km")
+    want = brute(rows, 8, 5, 0.9)
+    assert {("z", n) for n in got["z"]} == {p for p in want if p[0] == "z"}
+
+
+def test_ties_at_the_last_place_go_to_the_smallest_numbers():
+    x = np.repeat(np.eye(4), 100, 0)
+    ids, cos = similar.VantageTree(x, leaf=16).search(np.eye(4) * 0.6 + 0.4 / np.sqrt(2) * np.roll(np.eye(4), 1, 1), 7, -1.0, 1.0)
+    assert (ids == np.arange(4)[:, None] * 100 + np.arange(7)).all()
+    ids, _ = similar.VantageTree(x, leaf=16).search(x, 3, 0.5, 1.0)
+    assert (ids == np.repeat(np.arange(4) * 100, 100)[:, None] + np.arange(3)).all()
+
+
 def test_no_vectors(spark):
     assert similar.most_similar(vectors(spark, []), "key", "embedding", 8).count() == 0
     assert similar.most_similar(vectors(spark, [("a", [1.0] * 8)]), "key", "embedding", 8).count() == 0
@@ -118,6 +141,7 @@ def test_pairs_against_brute_force(spark):
 
 def test_groups(spark):
     rows = texts(60)
+    rows += [(f"copy{i}", rows[7][1].upper() + " " * i, rows[7][2]) for i in range(9)] + [(f"again{i}", rows[11][1], rows[11][2]) for i in range(4)]
     pairs = {(r.id_a, r.id_b) for r in neardup.near_pairs(memory(spark, rows), "content_hash", "content", "entities").collect()}
     group = {h: h for h, _, _ in rows}
     for _ in range(60):
@@ -127,6 +151,27 @@ def test_groups(spark):
     assert got == {h: (g, sum(h in p for p in pairs)) for h, g in group.items()}
 
 
+def test_copies_of_one_text_stay_one_class(spark):
+    text = "the same long text about staging, certificates and a nightly backup, again and again"
+    rows = [(f"c{i:05d}", text + "!" * (i % 7), None) for i in range(20000)] + [(f"x{i}", text.replace("nightly", f"weekly{i}"), None) for i in range(3)] + [("o", "an entirely different text that is also long enough to be compared with others", None)]
+    got = {r.id: (r.group_id, r.links) for r in neardup.near_groups(memory(spark, rows), "content_hash", "content", "entities").collect()}
+    assert len(got) == len(rows) and got["o"] == ("o", 0)
+    assert all(v == ("c00000", 20002) for k, v in got.items() if k != "o")
+
+
+def test_hot_bands_lose_no_pair(spark):
+    head = "every one of these texts begins with the very same long introduction that a template wrote "
+    rows = [(f"t{i:03d}", head + f"number {i} {chr(97 + i % 26) * 12}", None) for i in range(90)]
+    want = brute_pairs(rows)
+    assert len(want) > 2000
+    for most in (100_000, 0):
+        bands = neardup.signed(memory(spark, rows), "content_hash", "content", "entities", 60, neardup.MinMax())
+        from pyspark.sql import functions as F
+
+        found = neardup.candidate_pairs(bands.select("id", "n", "e", "s1", "s2", F.explode("bands").alias("band")), 0.6, 0.5, cap=8, broadcast_most=most)
+        assert want <= {(r.a, r.b) for r in found.collect()}
+
+
 def test_no_texts(spark):
     assert neardup.near_pairs(memory(spark, []), "content_hash", "content", "entities").count() == 0
     assert neardup.near_groups(memory(spark, [("a", None, None)]), "content_hash", "content", "entities").count() == 0
