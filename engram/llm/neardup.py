@@ -8,10 +8,14 @@ permutation are (slightly) negatively dependent. Bands of ``rows`` values bring
 permutations and 4 values to a band there are 50 bands, which miss a pair of J = 0.6 with probability
 (1 - 0.6^4)^50 < 0.1 % and one of J = 0.8 practically never.
 
+Records of equal folded text and equal entities form a class. Only classes are compared, each by its smallest key; copies
+cost one row of membership each, and are expanded only where pairs of records are asked for.
+
 Candidates are joined on the band's key. The join's condition compares sizes and a 128-bit sketch (2 bits of 64
 minima), so that of a bucket only plausible pairs are emitted, not all; a pair of J = 0.6 passes it but for 1 in 10^4.
-Bands that hold one text (nearly all) are dropped before. A bucket of more than ``cap`` texts is cut into chunks by a hash
-of the id, which meet each other in separate tasks, so that no bucket is ever skipped. Survivors are checked exactly.
+Bands are counted by partial sums first. Those of more than ``cap`` classes are cut into chunks by a hash of the key,
+which meet each other in separate tasks, so that no bucket is ever skipped and none lies in one task. Survivors are
+checked exactly.
 
 Defined results: texts are keyed by ``key``; of several rows of one key the greatest text and list count; null keys and
 texts, and those folded to fewer than ``least`` characters, belong to no pair; two empty entity sets count as equal; an
@@ -27,10 +31,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from engram.llm.terms import term_list
 from engram.operators.components import components
+from engram.session import cut
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -97,24 +101,17 @@ class MinMax:
         return np.stack([(bits[:, :32] << shift).sum(1, dtype=np.uint64), (bits[:, 32:] << shift).sum(1, dtype=np.uint64)], 1).view(np.int64)
 
 
-def one_per_key(df: DataFrame, key: str, text: str, entities: str) -> DataFrame:
-    """(id, text, entities): one row per key that has a text."""
+def signed(df: DataFrame, key: str, text: str, entities: str, least: int, maker: MinMax) -> DataFrame:
+    """(id, cls, folded, entities, n, e, s1, s2, bands): one row for each key with a text that is long enough."""
     one = (
         df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
         .select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(entities).alias("entities"))
         .groupBy("id")
         .agg(F.max("text").alias("text"), F.max("entities").alias("entities"))
+        # Lower case may lengthen a text (at most threefold), folding only shortens it.
+        .where(F.length("text") >= least // 3)
+        .select("id", "text", F.array_sort(F.array_distinct(term_list(F.col("entities")))).alias("entities"))
     )
-    return one.select("id", "text", F.array_distinct(term_list(F.col("entities"))).alias("entities"))
-
-
-def texts_by_key(df: DataFrame, key: str, text: str, entities: str, least: int) -> DataFrame:
-    """The same without texts that are surely too short: lower case may lengthen a text (at most threefold), folding only shortens it."""
-    return one_per_key(df, key, text, entities).where(F.length("text") >= least // 3)
-
-
-def banded(texts: DataFrame, least: int, maker: MinMax) -> DataFrame:
-    """(id, n, e, s1, s2, band): one row for each text and band."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -122,21 +119,35 @@ def banded(texts: DataFrame, least: int, maker: MinMax) -> DataFrame:
             keep = [i for i, t in enumerate(folded) if len(t) >= max(least, maker.width)]
             if not keep:
                 continue
-            sigs, sizes = maker.signatures([folded[i] for i in keep])
+            texts = [folded[i] for i in keep]
+            sigs, sizes = maker.signatures(texts)
             sketch = maker.sketch(sigs)
-            yield pd.DataFrame({"id": pdf.id.values[keep], "n": sizes, "e": pdf.e.values[keep], "s1": sketch[:, 0], "s2": sketch[:, 1], "bands": list(maker.bands(sigs))})
+            part = pdf.iloc[keep]
+            yield pd.DataFrame({"id": part.id.values, "folded": texts, "entities": part.entities.values, "n": sizes, "s1": sketch[:, 0], "s2": sketch[:, 1], "bands": list(maker.bands(sigs))})
 
-    rows = texts.select("id", "text", F.size("entities").alias("e")).mapInPandas(run, "id string, n int, e int, s1 long, s2 long, bands array<long>")
-    return rows.select("id", "n", "e", "s1", "s2", F.explode("bands").alias("band"))
+    rows = one.mapInPandas(run, "id string, folded string, entities array<string>, n int, s1 long, s2 long, bands array<long>")
+    name = F.md5(F.concat_ws("\x1f", F.array(F.col("folded")), "entities"))
+    return rows.withColumns({"cls": name, "e": F.size("entities")})
 
 
-def candidate_pairs(bands: DataFrame, jaccard: float, entity_jaccard: float, cap: int = 256, slots: int = 30) -> DataFrame:
+class Classes:
+    """Signed records, their classes, and the pairs of classes that reach the thresholds."""
+
+    def __init__(self, df: DataFrame, key: str, text: str, entities: str, jaccard: float, entity_jaccard: float, least: int, width: int, permutations: int, rows: int, cap: int) -> None:
+        every = cut(signed(df, key, text, entities, least, MinMax(permutations, rows, width)))
+        sizes = every.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
+        #: (id, rep, size) of the members of classes with copies; few or many, they are rows, never lists.
+        self.members = cut(every.select("id", "cls").join(sizes.where("size > 1"), "cls").select("id", "rep", "size"))
+        leads = every.join(self.members.where("id <> rep").select("id"), "id", "left_anti")
+        bands = leads.select("id", "n", "e", "s1", "s2", F.explode("bands").alias("band"))
+        self.pairs = cut(exact_pairs(candidate_pairs(bands, jaccard, entity_jaccard, cap), every, jaccard, entity_jaccard, width))
+        self.every = every
+
+
+def candidate_pairs(bands: DataFrame, jaccard: float, entity_jaccard: float, cap: int = 256, slots: int = 30, broadcast_most: int = 100_000) -> DataFrame:
     """Distinct (a, b), a < b, that share a band and whose sizes and sketches allow both thresholds."""
-    counted = bands.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("many > 1")
-    counted = counted.withColumn("chunks", F.ceil(F.col("many") / cap).cast("int")).drop("many")
-    left = counted.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
-    right = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    a, b = (x.select([F.col(c).alias(c if c in ("band", "chunk") else f"{c}_{s}") for c in x.columns]) for s, x in (("a", left), ("b", right)))
+    hot = cut(bands.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > cap).select("band", F.ceil(F.col("many") / cap).cast("int").alias("chunks")))
+    found = hot.count()
     odd = F.lit(0x5555555555555555).cast("long")
 
     def differ(w: str):
@@ -145,48 +156,81 @@ def candidate_pairs(bands: DataFrame, jaccard: float, entity_jaccard: float, cap
 
     lo, hi = (lambda c: F.least(f"{c}_a", f"{c}_b")), (lambda c: F.greatest(f"{c}_a", f"{c}_b"))
     fits = (F.col("id_a") < F.col("id_b")) & (lo("n") >= hi("n") * jaccard) & (lo("e") >= hi("e") * entity_jaccard) & (differ("s1") + differ("s2") <= 64 - slots)
-    return a.join(b, ["band", "chunk"]).where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
+    def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        a, b = (x.select([F.col(c).alias(c if c in on else f"{c}_{s}") for c in x.columns]) for s, x in (("a", left), ("b", right)))
+        return a.join(b, on).where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
-def near_pairs(
-    df: DataFrame, key: str, text: str, entities: str, jaccard: float = 0.6, entity_jaccard: float = 0.5, least: int = 60, width: int = 5, permutations: int = 100, rows: int = 4, cap: int = 256
-) -> DataFrame:
-    """(id_a, id_b, jaccard, entity_jaccard) of all pairs that reach both thresholds."""
-    texts = texts_by_key(df, key, text, entities, least)
-    pairs = candidate_pairs(banded(texts, least, MinMax(permutations, rows, width)), jaccard, entity_jaccard, cap)
+    if not found:
+        return meet(bands, bands, ["band"]).distinct()
+    # A checked number of hot bands is broadcast, more are joined by shuffle.
+    few = F.broadcast(hot) if found <= broadcast_most else hot
+    plain = bands.join(few.select("band"), "band", "left_anti")
+    crowded = bands.join(few, "band")
+    left = crowded.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
+    right = crowded.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    return meet(plain, plain, ["band"]).unionByName(meet(left, right, ["band", "chunk"])).distinct()
+
+
+def exact_pairs(pairs: DataFrame, rows: DataFrame, jaccard: float, entity_jaccard: float, width: int) -> DataFrame:
+    """(a, b, jaccard, entity_jaccard) of the pairs that reach both thresholds."""
     # Entities first, on rows without texts: few pairs are left for which texts must be sent.
-    sets = one_per_key(df, key, text, entities).select("id", "entities")
     same = F.size(F.array_intersect("entities_a", "entities_b"))
     both = F.size("entities_a") + F.size("entities_b") - same
     near = F.when(both == 0, F.lit(1.0)).otherwise(same / both)
-    of = lambda rows, s, *columns: rows.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
-    close = pairs.join(of(sets, "a", "entities"), "a").join(of(sets, "b", "entities"), "b").select("a", "b", near.alias("entity_jaccard")).where(F.col("entity_jaccard") >= entity_jaccard)
-    joined = close.join(of(texts, "a", "text"), "a").join(of(texts, "b", "text"), "b")
+    of = lambda s, c: rows.select(F.col("id").alias(s), F.col(c).alias(f"{c}_{s}"))
+    close = pairs.join(of("a", "entities"), "a").join(of("b", "entities"), "b").select("a", "b", near.alias("entity_jaccard")).where(F.col("entity_jaccard") >= entity_jaccard)
+    joined = close.join(of("a", "folded"), "a").join(of("b", "folded"), "b")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             kept: dict[str, set[str]] = {}
 
-            def parts(i: str, t: str) -> set[str]:
+            def parts(i: str, f: str) -> set[str]:
                 if i not in kept:
-                    f = fold(t)
                     kept[i] = {f[k : k + width] for k in range(len(f) - width + 1)}
                 return kept[i]
 
             j = np.empty(len(pdf))
-            for k, (ia, ib, ta, tb) in enumerate(zip(pdf.a, pdf.b, pdf.text_a, pdf.text_b)):
+            for k, (ia, ib, ta, tb) in enumerate(zip(pdf.a, pdf.b, pdf.folded_a, pdf.folded_b)):
                 x, y = parts(ia, ta), parts(ib, tb)
                 same = len(x & y)
                 j[k] = same / (len(x) + len(y) - same)
-            yield pd.DataFrame({"id_a": pdf.a, "id_b": pdf.b, "jaccard": j, "entity_jaccard": pdf.entity_jaccard})[j >= jaccard]
+            yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "jaccard": j, "entity_jaccard": pdf.entity_jaccard})[j >= jaccard]
 
-    return joined.select("a", "b", "text_a", "text_b", "entity_jaccard").mapInPandas(exact, "id_a string, id_b string, jaccard double, entity_jaccard double")
+    return joined.select("a", "b", "folded_a", "folded_b", "entity_jaccard").mapInPandas(exact, "a string, b string, jaccard double, entity_jaccard double")
 
 
-def near_groups(df: DataFrame, key: str, text: str, entities: str, **options) -> DataFrame:
-    """(id, group_id, links): every key that has a text, its class (the smallest key linked to it, over any number of steps) and its number of links."""
-    pairs = near_pairs(df, key, text, entities, **options).select("id_a", "id_b")
-    labels, links = components(pairs, "id_a", "id_b")
+def near_pairs(
+    df: DataFrame, key: str, text: str, entities: str, jaccard: float = 0.6, entity_jaccard: float = 0.5, least: int = 60, width: int = 5, permutations: int = 100, rows: int = 4, cap: int = 256
+) -> DataFrame:
+    """(id_a, id_b, jaccard, entity_jaccard) of all pairs that reach both thresholds, copies too."""
+    c = Classes(df, key, text, entities, jaccard, entity_jaccard, least, width, permutations, rows, cap)
+    named = lambda pairs, a, b: pairs.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"), "jaccard", "entity_jaccard")
+    if c.members.isEmpty():
+        return named(c.pairs, "a", "b")
+    # A class without copies stands for itself.
+    of = lambda s: c.members.select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"))
+    across = c.pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"x": F.coalesce("id_a", "a"), "y": F.coalesce("id_b", "b")})
+    # Copies of one class meet in chunks, so that a large class is spread over tasks.
+    chunks = F.ceil(F.col("size") / 1024).cast("int")
+    left = c.members.select("rep", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
+    right = c.members.select("rep", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    within = left.join(right, ["rep", "chunk"]).where("x < y").withColumns({"jaccard": F.lit(1.0), "entity_jaccard": F.lit(1.0)})
+    return named(across, "x", "y").unionByName(named(within, "x", "y"))
+
+
+def near_groups(
+    df: DataFrame, key: str, text: str, entities: str, jaccard: float = 0.6, entity_jaccard: float = 0.5, least: int = 60, width: int = 5, permutations: int = 100, rows: int = 4, cap: int = 256
+) -> DataFrame:
+    """(id, group_id, links): every key that has a text, its group (the smallest key linked to it, over any number of steps) and its number of links. Copies aren't expanded into pairs."""
+    c = Classes(df, key, text, entities, jaccard, entity_jaccard, least, width, permutations, rows, cap)
+    labels, _ = components(c.pairs, "a", "b")
+    sizes = c.members.where("id = rep").select("rep", "size")
+    both = c.pairs.select("a", F.col("b").alias("rep")).unionByName(c.pairs.select(F.col("b").alias("a"), F.col("a").alias("rep")))
+    # A record is linked to the other members of its class and to all members of the classes linked to it.
+    across = both.join(sizes, "rep", "left").groupBy(F.col("a").alias("rep")).agg(F.sum(F.coalesce("size", F.lit(1))).alias("across"))
     ids = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id")).distinct()
-    ends = links.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    return ids.join(labels.withColumnRenamed("node", "id"), "id", "left").join(ends, "id", "left").select("id", F.coalesce("component", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    own = ids.join(c.members, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"), (F.coalesce("size", F.lit(1)) - 1).alias("copies"))
+    out = own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(across, "rep", "left")
+    return out.select("id", F.coalesce("component", "rep").alias("group_id"), (F.col("copies") + F.coalesce("across", F.lit(0))).alias("links"))
