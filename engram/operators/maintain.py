@@ -18,6 +18,10 @@ from engram.params import DEFAULT, Params
 from engram.session import cut
 
 
+#: Entries of one word that meet in one task.
+SPREAD = 512
+
+
 def dedup_eligible(rows: DataFrame, checked: DataFrame | None = None) -> DataFrame:
     """Entries to be checked: not checked before, still valid, not disliked, with at least four characters."""
     ok = rows.where("invalid_at IS NULL AND coalesce(feedback_score, 0) <> -1 AND length(content) >= 4")
@@ -102,7 +106,10 @@ def dedup_pairs(classes: DataFrame, p: Params = DEFAULT) -> DataFrame:
     if p.dedup_threshold <= 0.5:
         raise ValueError("dedup_pairs: at a threshold of 0.5 or less, entries that share no word may reach it")
     least = min((p.dedup_threshold - 0.5) / 0.2, (p.dedup_threshold - 0.4) / 0.4) - 1e-5
-    lists = cut(classes.select("id", "size", "fresh", "e", "s", F.array_distinct(X.content_terms(F.col("content"))).alias("words")))
+    # Texts are few bytes for the work they make: they are spread by number, which adaptive execution leaves as it is.
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = classes.repartition(parts, "id").select("id", "size", "fresh", "e", "s", F.array_distinct(X.content_terms(F.col("content"))).alias("words"), _hashes(X.ngrams(F.lower("content"))).alias("g"))
+    lists = cut(lists.withColumn("w", _hashes(F.col("words"))))
     n = lists.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     opened = lists.select("id", "size", F.size("words").alias("len"), F.explode("words").alias("word"))
     df = opened.groupBy("word").agg(F.sum("size").alias("df")).where("df > 1")
@@ -111,20 +118,20 @@ def dedup_pairs(classes: DataFrame, p: Params = DEFAULT) -> DataFrame:
     place = F.row_number().over(w.orderBy("df", "word"))
     head = place + F.col("len") - F.count(F.lit(1)).over(w) <= F.col("len") - F.ceil(F.col("len") * least) + 1
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    signs = [_sign(_hashes(F.col("words")), k, 2).alias(f"w{k}") for k in range(2)] + [_sign(F.col("e"), 0, 1).alias("e0")]
+    signs = [_sign(F.col("w"), k, 2).alias(f"w{k}") for k in range(2)] + [_sign(F.col("e"), 0, 1).alias("e0")]
     about = lists.select("id", "size", "fresh", "s", F.size("e").alias("named"), *signs)
-    ranked = opened.join(df, "word").select("id", F.xxhash64("word").alias("word"), "len", (place <= p.dedup_terms).alias("rare"), head.alias("head"), idf.alias("idf"))
+    ranked = opened.join(df, "word").select("id", F.xxhash64("word").alias("word"), "len", (place <= p.dedup_terms).alias("rare"), head.alias("head"), idf.alias("idf"), F.ceil(F.col("df") / SPREAD).cast("int").alias("salts"))
     ranked = cut(ranked.join(about, "id"))
-    other = ranked.select("word", F.col("id").alias("o"), *[F.col(c).alias(f"{c}2") for c in ("len", "head", "fresh", "s", "named", "w0", "w1", "e0")])
+    other = ranked.select("word", F.col("id").alias("o"), *[F.col(c).alias(f"{c}2") for c in ("salts", "len", "head", "fresh", "s", "named", "w0", "w1", "e0")])
     one, none = F.lit(1.0), F.lit(0.0)
     limit = p.dedup_threshold
 
     def met(asked: DataFrame, others: DataFrame, text: float) -> DataFrame:
-        # Frequent words are spread over tasks: each asking row goes to one of the copies of the other side.
-        parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-        copies = others.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        pairs = spread.join(copies.hint("shuffle_hash"), ["word", "part"]).where("(id <> o OR size > 1) AND (fresh OR fresh2)")
+        # Frequent words are spread over tasks: each asking row goes to one of the copies of the other side, of which a word has
+        # one for each SPREAD of its entries.
+        spread = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
+        copies = others.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("salts2") - 1))).drop("salts2")
+        pairs = spread.join(copies, ["word", "part"]).where("(id <> o OR size > 1) AND (fresh OR fresh2)")
         # What ``fusion_score`` needs of the words, if entities and bigrams were equal; kept short, as it is done for every meeting.
         felt = "(abs(s) > 0.3D OR abs(s2) > 0.3D)"
         need = f"(CASE WHEN {felt} THEN ({limit}D - 1e-5D - 0.4D + 0.3D * abs(s - s2) - {0.2 * text}D) / 0.4D ELSE ({limit}D - 1e-5D - 0.5D - {0.3 * text}D) / 0.2D END)"
@@ -137,11 +144,18 @@ def dedup_pairs(classes: DataFrame, p: Params = DEFAULT) -> DataFrame:
     found = rare.unionByName(rest).groupBy("id", "o").agg(F.round(F.sum("idf"), 6).alias("raw"))
     both = (F.size("e") > 0) & (F.size("e2") > 0)
     score = lambda words, grams, named, text: fusion_score(words, grams, named, text, (F.col("s"), F.col("s2")), both, p)
-    light, text = lists.select("id", "e", "s"), classes.select("id", _hashes(X.content_terms(F.col("content"))).alias("w"), _hashes(X.ngrams(F.lower("content"))).alias("g"))
+    # Before sets are compared, no more words can be the same than bits of the one's signature are missing in the other's, and
+    # no more bigrams than the shorter text has.
+    light = lists.select("id", "e", "s", F.size("w").alias("len"), F.size("g").alias("many"), *[_sign(F.col("w"), k, 4).alias(f"w{k}") for k in range(4)])
+    text = lists.select("id", "w", "g")
     second = lambda d: d.select(F.col("id").alias("o"), *[F.col(c).alias(f"{c}2") for c in d.columns if c != "id"])
     pairs = found.join(light, "id").join(second(light), "o").withColumns({"n": _overlap("e", "e2"), "t": F.least(F.col("raw") / 20, one)})
-    pairs = pairs.where(score(one, one, F.col("n"), F.col("t")) >= p.dedup_threshold)
-    full = pairs.join(text, "id").join(second(text), "o")
+    missing = lambda x, y: sum((F.bit_count(F.col(f"w{k}{x}").bitwiseAND(F.bitwise_not(f"w{k}{y}"))) for k in range(4)), F.lit(0))
+    same = F.least(F.col("len") - missing("", "2"), F.col("len2") - missing("2", ""))
+    words = F.when(F.least("len", "len2") == 0, 0.0).otherwise(same / (F.col("len") + F.col("len2") - same))
+    grams = F.when(F.least("many", "many2") == 0, 0.0).otherwise(F.least("many", "many2") / F.greatest("many", "many2"))
+    pairs = pairs.where(score(words, grams, F.col("n"), F.col("t")) >= p.dedup_threshold).select("id", "o", "e", "e2", "s", "s2", "n", "t")
+    full = pairs.repartition(4 * parts, "id").join(text, "id").join(second(text), "o")
     return full.select("id", "o", score(_overlap("w", "w2"), _overlap("g", "g2"), F.col("n"), F.col("t")).alias("score")).where(F.col("score") >= p.dedup_threshold)
 
 

@@ -557,9 +557,23 @@ def dedup_scores(spark, sf):
     return M.dedup_scores(eligible(spark, sf))
 
 
-@query(f"""WITH {_SCORES}, matched AS (SELECT *, (coalesce(created, TIMESTAMPTZ '1970-01-01 00:00:00+00'), key) < (coalesce(other_created, TIMESTAMPTZ '1970-01-01 00:00:00+00'), other) AS older FROM final WHERE score >= 0.65),
-marked AS (SELECT CASE WHEN older THEN key ELSE other END AS key, CASE WHEN older THEN other ELSE key END AS kept, score FROM matched)
-SELECT key, kept, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, kept) AS r FROM marked) WHERE r = 1""")
+# All pairs that share a word are scored, without a limit of candidates; bigrams only where they can still decide.
+_MARKS = _ELIGIBLE + f""",
+total AS (SELECT count(*) AS n FROM eligible),
+asked AS (SELECT key, word, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT key, word, df, row_number() OVER (PARTITION BY key ORDER BY df, word) AS r FROM words JOIN df USING (word) WHERE df > 1), total WHERE r <= 8),
+text_scores AS (SELECT a.key, b.key AS other, least(round(sum(idf), 6) / 20, 1.0) AS t FROM asked a JOIN words b ON a.word = b.word AND a.key <> b.key GROUP BY 1, 2),
+together AS (SELECT a.key, b.key AS other, count(*) AS n FROM words a JOIN words b ON a.word = b.word AND a.key <> b.key GROUP BY 1, 2),
+parts AS (SELECT key, coalesce(created, TIMESTAMPTZ '1970-01-01 00:00:00+00') AS since, len(list_distinct({_terms('content')})) AS w, list_distinct(list_filter(list_transform(coalesce(entities, []), lambda e: lower({_strip('e')})), lambda e: e IS NOT NULL AND e <> '')) AS e, {_GRAMS.format('lower(content)')} AS g, coalesce(intensity, 0.0) AS s FROM eligible),
+compared AS (SELECT p.key, p.other, a.since, b.since AS other_since, p.n / (a.w + b.w - p.n)::DOUBLE AS jw, {_J.format('a.e', 'b.e')} AS je, a.g AS ga, b.g AS gb, coalesce(x.t, 0.0) AS t, abs(a.s - b.s) AS gap, abs(a.s) > 0.3 OR abs(b.s) > 0.3 AS felt, len(a.e) > 0 AND len(b.e) > 0 AS named
+  FROM together p JOIN parts a ON a.key = p.key JOIN parts b ON b.key = p.other LEFT JOIN text_scores x ON x.key = p.key AND x.other = p.other),
+possible AS (SELECT * FROM compared WHERE CASE WHEN felt THEN gap <= 0.8 AND 0.4 * jw + 0.3 * (1 - gap) + 0.2 * t + 0.1 > 0.64 ELSE 0.4 * je + 0.3 * t + 0.2 * jw + 0.1 > 0.64 END),
+fused AS (SELECT *, CASE WHEN felt THEN CASE WHEN gap > 0.8 THEN 0 ELSE 0.4 * jw + 0.3 * (1 - gap) + 0.2 * t + 0.1 * {_J.format('ga', 'gb')} END ELSE 0.4 * je + 0.3 * t + 0.2 * jw + 0.1 * {_J.format('ga', 'gb')} END AS f FROM possible),
+final AS (SELECT key, other, since, other_since, round(greatest(0, least(1, CASE WHEN named AND je = 0 THEN f * 0.5 ELSE f END)), 6) AS score FROM fused),
+both_ways AS (SELECT key, other, since, other_since, score FROM final UNION ALL SELECT other, key, other_since, since, score FROM final),
+newer AS (SELECT key, other, max(score) AS score FROM both_ways WHERE score >= 0.65 AND (since, key) < (other_since, other) GROUP BY key, other)"""
+
+
+@query(f"WITH {_MARKS} SELECT key, min(other) AS kept, score FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY score DESC) AS r FROM newer) WHERE r = 1 GROUP BY key, score")
 def dedup_marks(spark, sf):
     return M.dedup_marks(eligible(spark, sf))
 
@@ -616,7 +630,7 @@ def forget_stale(spark, sf):
     return M.stale(memory(spark, sf, "created").join(seen, "key", "left"), "ts", "created").select("key")
 
 
-_TURNS = "turns AS (SELECT id, '[' || m.role || '] ' || substr(m.content, 1, 3000) AS line FROM (SELECT id, max(struct_pack(role, content)) AS m FROM messages WHERE id IS NOT NULL AND role IN ('user', 'assistant') AND content IS NOT NULL AND length(trim(content)) >= 20 GROUP BY id))"
+_TURNS = "turns AS (SELECT id, '[' || m.role || '] ' || m.content AS line FROM (SELECT id, max(struct_pack(role, content)) AS m FROM messages WHERE id IS NOT NULL AND role IN ('user', 'assistant') AND content IS NOT NULL AND length(trim(content)) >= 20 GROUP BY id))"
 
 
 @query(f"WITH {_TURNS} SELECT id, line FROM turns")
@@ -624,7 +638,18 @@ def distill_messages(spark, sf):
     return M.turns(table(spark, sf, "messages"))
 
 
-@query(f"WITH {_TURNS} SELECT floor(id / 300)::BIGINT AS batch, count(*) AS messages, right(string_agg(line, chr(10) ORDER BY id), 4000) AS text FROM turns GROUP BY 1")
+# Lines are cut to pieces of 4000; from piece to piece a text goes on where the whole of a line still fits.
+_BATCHES = f"""WITH RECURSIVE {_TURNS},
+cut_ AS (SELECT id, line, unnest(range(0, ((length(line) - 1) // 4000 + 1)::BIGINT)) AS part FROM turns),
+pieces AS (SELECT floor(id / 300)::BIGINT AS batch, part = 0 AS begins, substr(line, part * 4000 + 1, 4000) AS piece, row_number() OVER (PARTITION BY floor(id / 300) ORDER BY id, part) AS n FROM cut_),
+walk AS (SELECT batch, n, 1 AS text_no, length(piece) AS filled, begins, piece FROM pieces WHERE n = 1 UNION ALL
+  SELECT p.batch, p.n, CASE WHEN p.begins AND filled + 1 + length(p.piece) <= 4000 THEN text_no ELSE text_no + 1 END,
+    CASE WHEN p.begins AND filled + 1 + length(p.piece) <= 4000 THEN filled + 1 + length(p.piece) ELSE length(p.piece) END, p.begins, p.piece
+  FROM walk w JOIN pieces p ON p.batch = w.batch AND p.n = w.n + 1)
+SELECT batch, count_if(begins) AS messages, string_agg(piece, chr(10) ORDER BY n) AS text FROM walk GROUP BY batch, text_no"""
+
+
+@query(_BATCHES)
 def distill_batches(spark, sf):
     return M.conversations(M.turns(table(spark, sf, "messages")))
 
