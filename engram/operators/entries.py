@@ -15,6 +15,11 @@ def entries(memory: DataFrame, *columns: str) -> DataFrame:
     return memory.where(F.col("key").isNotNull()).groupBy("key").agg(*[F.max(c).alias(c) for c in names if c != "key"])
 
 
+def lookup(memory: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """Entries of the given keys. The keys are filtered before rows are reduced, so that the filter reaches the scan."""
+    return entries(memory.where(F.col("key").isin(*keys)) if keys else memory.where("false"), *columns)
+
+
 def live(rows: DataFrame) -> DataFrame:
     """Entries that a search may return: not expired, not superseded, not consumed, not corrected."""
     return rows.where("invalid_at IS NULL AND valid_until IS NULL AND corrected_at IS NULL AND coalesce(fragment_type, '') <> 'consumed'")

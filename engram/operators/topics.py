@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from engram.functions import text as X
 from engram.functions.weights import age_days
+from engram.operators import vocabulary as V
 from engram.params import DEFAULT, Params
 
 #: Days without any write after which a whole set is gone.
@@ -57,10 +58,10 @@ def top(scored: DataFrame, limit: int) -> DataFrame:
 
 
 def attention(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(topic, score): keywords of entries, each adding a base and a part of the entry's intensity."""
-    words = F.explode(F.array_distinct(X.content_terms(F.col("content")))).alias("topic")
+    """(topic, score): the five keywords of each entry, each adding a base and a part of the entry's intensity."""
+    words = V.keywords(rows, carry=("intensity",)).where(F.length("word") >= 2)
     gained = p.attention_base + F.coalesce(F.col("intensity"), F.lit(0.0)) * p.attention_emotion
-    return rows.select(words, gained.alias("gain")).groupBy("topic").agg(F.sum(F.col("gain").cast("decimal(18,6)")).cast("double").alias("score"))
+    return words.select(F.col("word").alias("topic"), gained.alias("gain")).groupBy("topic").agg(F.sum(F.col("gain").cast("decimal(18,6)")).cast("double").alias("score"))
 
 
 def topic_list(topics: DataFrame, limit: int) -> list:

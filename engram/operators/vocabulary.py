@@ -77,8 +77,9 @@ def dictionary_lines(words_: DataFrame) -> DataFrame:
     return words_.select(F.concat_ws(" ", "word", F.col("freq").cast("string"), F.lit("nz")).alias("value"))
 
 
-def keywords(rows: DataFrame, most: int = 5) -> DataFrame:
-    """(key, word, n, place): the most frequent keywords of each entry; ties by first place in the text."""
-    found = rows.select("key", F.posexplode(X.keyword_occurrences(F.col("content"))).alias("at", "word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+def keywords(rows: DataFrame, most: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, word, n, place): the most frequent keywords of each entry; ties by first place in the text. ``carry`` names columns of the entry to be kept."""
+    opened = rows.select("key", *carry, F.posexplode(X.keyword_occurrences(F.col("content"))).alias("at", "word"))
+    found = opened.groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), *[F.max(c).alias(c) for c in carry])
     w = Window.partitionBy("key").orderBy(F.desc("n"), F.asc("at"))
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("key", "word", "n", "place")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("key", "word", "n", "place", *carry)

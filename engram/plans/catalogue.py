@@ -17,6 +17,7 @@ from engram.functions import text as X
 from engram.functions import weights as W
 from engram.operators import chunks, entries as E, maintain as M, search as S, topics as T, vocabulary as V
 from engram.params import DEFAULT as P
+from engram.sources.config import gated, unlocked
 from engram.sources.tables import table
 from engram.streaming import jobs as J
 
@@ -86,8 +87,14 @@ current AS (SELECT log.* FROM log, here WHERE ts BETWEEN first AND last AND epoc
 scores AS (SELECT topic, sum(weight::DECIMAL(18, 6))::DOUBLE AS score, max(ts) AS last_seen FROM current GROUP BY topic)"""
 
 
+_VARIED = "len(list_distinct(string_split(t, ''))) > 1"
+KEYWORDS = rf"""occurrences AS (SELECT key, list_concat(list_filter({_terms('content')}, lambda t: {_VARIED}),
+  list_filter(list_filter(regexp_extract_all(regexp_replace(lower(coalesce(content, '')), '[^\p{{L}}\p{{N}}_]+', '  ', 'g'), '(?:^| )([a-z]{{3,}})(?: |$)', 1), lambda t: t <> ''), lambda t: NOT list_contains({_STOPS}, t) AND {_VARIED})) AS o FROM live),
+placed AS (SELECT key, unnest(o) AS word, generate_subscripts(o, 1) AS pos FROM occurrences), counted AS (SELECT key, word, count(*) AS n, min(pos) AS pos FROM placed GROUP BY key, word),
+keywords AS (SELECT key, word, n, place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, pos) AS place FROM counted) WHERE place <= 5)"""
 ATTENTION = LIVE + f""",
-attention AS (SELECT topic, sum((2.0 + intensity * 1.5)::DECIMAL(18, 6))::DOUBLE AS score FROM (SELECT unnest(list_distinct({_terms('content')})) AS topic, coalesce(intensity, 0.0) AS intensity FROM live) GROUP BY topic),
+{KEYWORDS},
+attention AS (SELECT word AS topic, sum((2.0 + coalesce(intensity, 0.0) * 1.5)::DECIMAL(18, 6))::DOUBLE AS score FROM keywords JOIN live USING (key) WHERE length(word) >= 2 GROUP BY word),
 listed AS (SELECT * FROM attention ORDER BY score DESC, topic DESC LIMIT 10)"""
 FEEDBACK = "feedback AS (SELECT key, coalesce(sum(delta), 0)::BIGINT AS score FROM (SELECT DISTINCT key, ts, delta FROM feedback_log WHERE key IS NOT NULL) GROUP BY key)"
 BM25 = LIVE + f""",
@@ -176,8 +183,9 @@ def full_scan(spark, sf):
 
 @query(f"WITH {LIVE}, v AS (SELECT min(key) AS key FROM live) SELECT key, content_hash, level FROM live JOIN v USING (key)")
 def point_lookup(spark, sf):
-    rows = live(spark, sf)
-    return rows.join(rows.agg(F.min("key").alias("key")), "key", "left_semi").select("key", "content_hash", "level")
+    raw = table(spark, sf, "memory")
+    wanted = E.live(E.entries(raw, "invalid_at", "valid_until", "corrected_at", "fragment_type")).agg(F.min("key")).first()[0]
+    return E.live(E.lookup(raw, [wanted] if wanted else [])).select("key", "content_hash", "level")
 
 
 @query(f"WITH {LIVE} SELECT key FROM live WHERE list_has_any(list_transform(tags, lambda t: {_strip('t')}), ['agent:desk-2', 'shared'])")
@@ -199,15 +207,21 @@ def stored_tags(spark, sf):
 SKIP = ("好", "可以", "嗯", "ok", "好的", "继续", "thanks", "yes")
 
 
-@query("SELECT content, count(*) AS n FROM messages WHERE content IS NOT NULL AND length(trim(content)) >= 2 AND lower(trim(content)) NOT IN ('" + "', '".join(SKIP) + "') GROUP BY content")
+@query(f"SELECT content, count(*) AS n FROM messages WHERE content IS NOT NULL AND length({_strip('content')}) >= 2 AND lower({_strip('content')}) NOT IN ('" + "', '".join(SKIP) + "') GROUP BY content")
 def skip_gate(spark, sf):
-    told = table(spark, sf, "messages").where("content IS NOT NULL")
-    return told.where((F.length(F.trim("content")) >= P.skip_least) & ~F.lower(F.trim("content")).isin(*SKIP)).groupBy("content").agg(F.count(F.lit(1)).alias("n"))
+    patterns = spark.createDataFrame([(p,) for p in SKIP], "pattern string")
+    told = table(spark, sf, "messages").where("content IS NOT NULL").select(F.col("content").alias("query"))
+    return gated(told, patterns, P.skip_least).groupBy(F.col("query").alias("content")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT NULL::VARCHAR AS key WHERE false")
+@query(f"WITH {BM25}, asking AS (SELECT * FROM (VALUES ('desk-1'), ('desk-2'), ('desk-3')) AS t(agent)), locks AS (SELECT * FROM (VALUES ('desk-1'), ('desk-3')) AS t(agent)) SELECT agent, qid, key, place FROM best, asking WHERE agent NOT IN (SELECT agent FROM locks) AND place <= 5")
 def locked_search(spark, sf):
-    return live(spark, sf).where(F.lit(False)).select("key")
+    """What three agents get for the evaluation queries while a workflow has locked two of them."""
+    asking, locks = (spark.createDataFrame([(a,) for a in names], "agent string") for names in (("desk-1", "desk-2", "desk-3"), ("desk-1", "desk-3")))
+    asked = unlocked(terms(spark, sf).withColumn("agent", F.explode(F.array(*[F.lit(r.agent) for r in asking.collect()]))), locks)
+    found = S.text_search(E.not_noise(live(spark, sf), P.noise_chars), asked.withColumn("qid", F.concat_ws("|", "agent", "qid")), most=P.final_limit)
+    parts = F.split("qid", r"\|")
+    return found.select(parts[0].alias("agent"), parts[1].alias("qid"), "key", "place")
 
 
 @query(f"""WITH {ENTRIES} SELECT key, content_hash, row_number() OVER w AS number, epoch_us(lead(created) OVER w) AS superseded_at, lead(key) OVER w IS NULL AS last
@@ -359,23 +373,32 @@ def synonym_discovery(spark, sf):
     return V.synonyms(live(spark, sf))
 
 
+#: Synonyms given by hand; a term that has some keeps just those.
+MANUAL = (("gateway", "proxy"), ("backup", "snapshot"), ("Backup", "archive"), ("parser", "reader"), ("deployment", "rollout"), ("队列", "排队"), ("日志", "记录"))
+_MANUAL = "manual AS (SELECT DISTINCT lower(term) AS term, lower(synonym) AS synonym FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in MANUAL) + ") AS t(term, synonym))"
+_EDGES = _SYNONYMS + f""", close AS (SELECT * FROM synonyms WHERE jaccard >= 0.5), {_MANUAL},
+edges AS (SELECT term, synonym FROM manual UNION SELECT * FROM (SELECT word_a AS term, word_b AS synonym FROM close UNION SELECT word_b, word_a FROM close) WHERE term NOT IN (SELECT term FROM manual))"""
+
+
+def _edges(spark, sf) -> DataFrame:
+    return V.merged_synonyms(_close_words(spark, sf), spark.createDataFrame(list(MANUAL), "term string, synonym string"))
+
+
 def _close_words(spark, sf) -> DataFrame:
     return V.synonyms(live(spark, sf)).where("jaccard >= 0.5")
 
 
-@query(f"""WITH {_SYNONYMS}, close AS (SELECT * FROM synonyms WHERE jaccard >= 0.5), edges AS (SELECT word_a AS term, word_b AS synonym FROM close UNION SELECT word_b, word_a FROM close)
+@query(f"""WITH {_EDGES}
 SELECT term, '[' || string_agg('"' || synonym || '"', ',' ORDER BY synonym) || ']' AS synonyms FROM edges GROUP BY term""")
 def synonym_table(spark, sf):
-    none = spark.createDataFrame([], "term string, synonym string")
-    return V.synonym_rows(V.merged_synonyms(_close_words(spark, sf), none))
+    return V.synonym_rows(_edges(spark, sf))
 
 
-@query(f"""WITH {_SYNONYMS}, close AS (SELECT * FROM synonyms WHERE jaccard >= 0.5), edges AS (SELECT word_a AS term, word_b AS synonym FROM close UNION SELECT word_b, word_a FROM close),
+@query(f"""WITH {_EDGES},
 queries AS (SELECT DISTINCT substr(sha256(query), 1, 12) AS qid, query FROM eval_queries WHERE query IS NOT NULL), terms AS (SELECT DISTINCT qid, query, unnest({_tokens('query')}) AS term FROM queries)
 SELECT qid, term FROM terms UNION SELECT qid, synonym FROM terms JOIN edges USING (term)""")
 def synonym_expand(spark, sf):
-    none = spark.createDataFrame([], "term string, synonym string")
-    return S.expand_terms(terms(spark, sf), V.merged_synonyms(_close_words(spark, sf), none)).select("qid", "term")
+    return S.expand_terms(terms(spark, sf), _edges(spark, sf)).select("qid", "term")
 
 
 _ENTITIES = f"""{LIVE},
@@ -453,21 +476,14 @@ def doc_frequency(spark, sf):
     return V.document_frequency(live(spark, sf))
 
 
-@query(f"""WITH {_SYNONYMS}, known AS (SELECT word_a AS word FROM synonyms WHERE jaccard >= 0.5 UNION SELECT word_b FROM synonyms WHERE jaccard >= 0.5),
+@query(f"""WITH {_EDGES}, known AS (SELECT term AS word FROM edges UNION SELECT synonym FROM edges),
 merged AS (SELECT word, greatest(coalesce(df, 0), CASE WHEN k.word IS NULL THEN 0 ELSE 3 END) AS freq FROM df FULL JOIN known k USING (word))
 SELECT word || ' ' || freq || ' nz' AS value FROM merged WHERE freq >= 2""")
 def dictionary_terms(spark, sf):
-    none = spark.createDataFrame([], "term string, synonym string")
-    return V.dictionary_lines(V.dictionary(live(spark, sf), V.merged_synonyms(_close_words(spark, sf), none)))
-
+    return V.dictionary_lines(V.dictionary(live(spark, sf), _edges(spark, sf)))
 
-_VARIED = "len(list_distinct(string_split(t, ''))) > 1"
 
-
-@query(rf"""WITH {LIVE}, occurrences AS (SELECT key, list_concat(list_filter({_terms('content')}, lambda t: {_VARIED}),
-  list_filter(list_filter(regexp_extract_all(regexp_replace(lower(coalesce(content, '')), '[^\p{{L}}\p{{N}}_]+', '  ', 'g'), '(?:^| )([a-z]{{3,}})(?: |$)', 1), lambda t: t <> ''), lambda t: NOT list_contains({_STOPS}, t) AND {_VARIED})) AS o FROM live),
-opened AS (SELECT key, unnest(o) AS word, generate_subscripts(o, 1) AS pos FROM occurrences), counted AS (SELECT key, word, count(*) AS n, min(pos) AS pos FROM opened GROUP BY key, word)
-SELECT key, word, n, place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, pos) AS place FROM counted) WHERE place <= 5""")
+@query(f"WITH {LIVE}, {KEYWORDS} SELECT key, word, n, place FROM keywords")
 def keywords_top5(spark, sf):
     return V.keywords(live(spark, sf))
 

@@ -25,11 +25,13 @@ def local_session(cpus: int = 8, app: str = "engram", memory: str = "12g", parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Only a local session may leave that unset; it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix=f"engram-{os.getpid()}-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)

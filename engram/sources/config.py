@@ -55,6 +55,11 @@ def skip_patterns(spark: SparkSession, path: str) -> DataFrame:
     return lines.where((F.col("pattern") != "") & ~F.col("pattern").startswith("#")).distinct()
 
 
+def unlocked(queries: DataFrame, locks: DataFrame, agent: str = "agent") -> DataFrame:
+    """Queries of agents that no workflow has locked; null agents hold no lock."""
+    return queries.join(locks.select(agent).where(F.col(agent).isNotNull()).distinct(), agent, "left_anti")
+
+
 def gated(queries: DataFrame, patterns: DataFrame, least: int = 2) -> DataFrame:
     """Queries worth a search: long enough, and not among the skip patterns."""
     asked = queries.where(F.length(strip(F.col("query"))) >= least)

@@ -170,7 +170,8 @@ class MemoryStore:
 
     def consolidate(self, merge: Callable[[list[str]], str] = M.first_sentences) -> DataFrame:
         rows = M.group_eligible(E.live(self.entries()), self.params)
-        merged = M.merge_groups(M.leader_groups(rows, self.params), rows, merge, self.agent)
+        # Written once and read from there: a model may answer differently the next time.
+        merged = cut(M.merge_groups(M.leader_groups(rows, self.params), rows, merge, self.agent))
         self.append("updates", M.consumed(merged, self.params))
         self.append("entries", merged.withColumns({"content_hash": X.content_hash(F.col("content")), "created": F.lit(self.params.as_of).cast("timestamp")}))
         return merged

@@ -158,6 +158,17 @@ def test_merged_texts_stay_whole(spark, tmp_path):
     assert s.search("zebrafish").count() == s.search("marmalade").count() == 1
 
 
+def test_consolidate_asks_a_model_once(spark, tmp_path):
+    import uuid
+
+    s = MemoryStore(spark, str(tmp_path), "main", params=P)
+    text = "deployment pipeline rotates staging certificates"
+    s.store(rows(spark, text + " early", text + " late", at="2025-01-01 00:00:00"))
+    key = s.consolidate(lambda texts: f"merged {uuid.uuid4()}").first().key
+    assert {r.consumed_by for r in s.entries().where("fragment_type = 'consumed'").collect()} == {key}
+    assert s.table("entries").where("fragment_type = 'consolidated'").first().key == key
+
+
 def test_each_write_counts(spark, tmp_path):
     s = MemoryStore(spark, str(tmp_path), "main", params=P)
     s.store(rows(spark, "gateway alpha", "gateway beta"))
