@@ -8,9 +8,9 @@ flags: its class and whether the word it stands in, or it itself, is in the tabl
 
 Texts longer than a window are cut into overlapping windows. Each is decoded by itself; then all findings of a text
 are reconciled: where findings overlap, the one furthest from a cut of its own window wins, so that what one
-window saw only in part gives way to what another saw whole. An exact check follows: a finding's ends are set to those
-of the address, number or name that its characters form, and what can't be of its kind (a phone number of four
-digits, an address without a house number) is dropped.
+window saw only in part gives way to what another saw whole. At last each finding's ends are set to those of the address,
+number or name that its characters form (a title, a bracket, a full stop are taken off). That moves ends; whether there is
+a finding is the tagger's decision alone.
 
 Scale: one pass over the texts without a shuffle; memory is bounded by the batch of windows. Work is linear in characters.
 
@@ -180,7 +180,7 @@ class Tagger:
         return tags
 
     def spans(self, encoder: Encoder, texts: list[str], batch: int = 512) -> list[list[tuple[int, int, int]]]:
-        """(start, end, kind) of each text, reconciled over its windows, without the exact check."""
+        """(start, end, kind) of each text, reconciled over its windows, before their ends are set."""
         jobs, coded = [], []
         for i, text in enumerate(texts):
             coded.append(encoder.encode(text))
@@ -190,6 +190,7 @@ class Tagger:
         jobs.sort()
         found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         held: list[tuple[np.ndarray, list[tuple[int, int, int]]]] = []
+        open_count = 0
         for at in range(0, len(jobs), batch):
             part = jobs[at : at + batch]
             t = part[-1][0]
@@ -200,12 +201,17 @@ class Tagger:
             scores = self.emissions(ids, flags, lengths)
             open_ = np.nonzero(~self.plain_windows(scores, lengths))[0]
             held.append((scores[:, open_], [part[r] for r in open_]))
-        # The few windows that may hold something are decoded together.
-        t = max((x.shape[0] for x, _ in held), default=0)
-        left = [job for _, mine in held for job in mine]
-        if left:
+            open_count += len(open_)
+            # The few windows that may hold something are decoded together.
+            if open_count < 4 * batch and at + batch < len(jobs):
+                continue
+            left = [job for _, mine in held for job in mine]
+            if not left:
+                continue
+            t = max(x.shape[0] for x, _ in held)
             lengths = np.array([j[0] for j in left])
             scores = np.concatenate([np.pad(x, ((0, t - len(x)), (0, 0), (0, 0))) for x, _ in held], 1)
+            held, open_count = [], 0
             tags = self.decode(scores, lengths)
             for r in np.nonzero((tags > 0).any(1))[0]:
                 n, i, s = left[r]
@@ -242,71 +248,70 @@ _DOT = r"(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@|\s?[(\[]at[)\]]\s?|\sat\s){_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}")
 NUMBER = re.compile(r"(?:\+\s?|\()?\d(?:[\d ()/.-]*\d)?")
-IDENTITY = re.compile(r"[A-Z0-9](?:[A-Z0-9 -]*[A-Z0-9])?")
-EN_STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl|Row|Close|Terrace|Crescent|Boulevard|Blvd|Square|Sq|Hill|Grove|Mews|Walk|Gardens|Park"
-ADDRESS_EN = re.compile(rf"\d+(?:-\d+|[A-Za-z])?\s(?:[NSEW]\.\s|Old\s|New\s)?(?:[A-Z][\w'’-]*\s){{1,3}}(?:{EN_STREETS})\b")
-ADDRESS_DE = re.compile(r"(?:(?:Am|An|Im|In|Zum|Zur|Alte|Alter|Altes|Neue|Neuer|Obere|Untere|Große|Kleine)\s(?:der\s|den\s|dem\s)?)?[A-ZÄÖÜ][\wäöüß-]*\.?\s\d+(?:\s?[a-z]\b)?(?:\s?-\s?\d+(?:\s?[a-z]\b)?)?")
-ADDRESS_ZH = re.compile(r"[㐀-鿿]{2,8}\d+(?:[-之]\d+)?号")
-NAME_LATIN = re.compile(r"(?:[^\W\d_][\w'’]*\.?)(?:(?:,?\s|-)(?:[^\W\d_][\w'’]*\.?))*")
-TITLES = re.compile(r"^(?:Mrs?|Ms|Miss|Dr|Prof|Herrn?|Frau|Sir|Madam)\b\.?\s*")
+TITLES = re.compile(r"^(?:Mrs?|Ms|Miss|Dr|Prof|Professor|Herrn?|Frau|Sir|Madam|Dear)\b\.?\s*")
+AFTER = re.compile(r"(?:先生|女士)+$")
+_INITIAL = re.compile(r"(?:^|[\s.,])[^\W\d_]\.$")
+_UNIT_AFTER = re.compile(r"(?:,|\s(?:flat|apt|unit|floor|suite)\b).*$", re.IGNORECASE)
 
 
-def _glued(text: str, a: int, b: int) -> bool:
-    """Whether a span is only a part of a longer word or number of plain letters and digits."""
-    plain_word = lambda c: c == "-" or (c.isascii() and c.isalnum())
-    return (a > 0 and plain_word(text[a - 1]) and plain_word(text[a])) or (b < len(text) and plain_word(text[b]) and plain_word(text[b - 1]))
-
-
-def exact(text: str, span: tuple[int, int, int]) -> tuple[int, int] | None:
-    """The span with its ends set by the form of its kind, or None if it has none."""
+def trimmed(text: str, span: tuple[int, int, int]) -> tuple[int, int] | None:
+    """The span with its ends set by the form of its kind. It only moves ends; what holds no character of its kind at all is nothing."""
     a, b, kind = span
-    low = plain(text)
-    name = KINDS[kind]
-    # A little room on both sides, in which the form may reach further than the tags.
-    lo, hi = max(0, a - 12), min(len(text), b + 12)
+    low, name = plain(text), KINDS[kind]
 
-    def best(*forms: re.Pattern) -> tuple[int, int] | None:
-        hits = [(min(b, m.end()) - max(a, m.start()), m.start(), m.end()) for f in forms for m in f.finditer(low, lo, hi)]
-        hits = [h for h in hits if 2 * h[0] > b - a]
-        return max(hits, key=lambda h: (h[0], h[1] - h[2]))[1:] if hits else None
+    def ends(first, last) -> tuple[int, int] | None:
+        at = [k for k in range(a, b) if first(low[k])]
+        to = [k for k in range(a, b) if last(low[k])]
+        return (at[0], to[-1] + 1) if at and to and at[0] <= to[-1] else None
 
     if name == "email":
         lo, hi = max(0, a - 40), min(len(text), b + 40)
-        return best(EMAIL)
+        hits = [(min(b, m.end()) - max(a, m.start()), m.start(), m.end()) for m in EMAIL.finditer(low, lo, hi)]
+        hits = [h for h in hits if 2 * h[0] > b - a]
+        return max(hits)[1:] if hits else ends(str.isalnum, str.isalnum)
     if name == "phone":
-        m = max(NUMBER.finditer(low, a, b), key=lambda x: len(x.group()), default=None)
-        if not m or sum(c.isdigit() for c in m.group()) < 7 or low[m.start() - 1 : m.start()].isdigit() or low[m.end() : m.end() + 1].isdigit():
-            return None
-        return m.span()
+        # The number goes on as long as its digits do.
+        while a > 0 and low[a - 1].isdigit() and low[a].isdigit():
+            a -= 1
+        while b < len(low) and low[b].isdigit() and low[b - 1].isdigit():
+            b += 1
+        hit = max(NUMBER.finditer(low, a, b), key=lambda m: len(m.group()), default=None)
+        return hit.span() if hit else None
     if name == "id_number":
-        m = max(IDENTITY.finditer(low, a, b), key=lambda x: len(x.group()), default=None)
-        if not m or sum(c.isdigit() for c in m.group()) < 5 or _glued(low, *m.span()):
-            return None
-        return m.span()
+        while a > 0 and _plain_word(low[a - 1]) and _plain_word(low[a]):
+            a -= 1
+        while b < len(low) and _plain_word(low[b]) and _plain_word(low[b - 1]):
+            b += 1
+        hit = ends(lambda c: c.isascii() and c.isalnum(), lambda c: c.isascii() and c.isalnum())
+        return hit if hit and any(c.isdigit() for c in low[slice(*hit)]) else None
     if name == "address":
-        m = next((x for f in (ADDRESS_EN, ADDRESS_ZH) if (x := f.fullmatch(low, a, b))), None)
-        if m:
-            return m.span()
-        if not any(c.isdigit() for c in low[a:b]):
-            return None
-        if any("㐀" <= c <= "鿿" for c in low[a:b]):
-            m = ADDRESS_ZH.search(low, a, min(len(low), b + 2))
-            return m.span() if m else None
-        m = next((x for f in (ADDRESS_EN, ADDRESS_DE) if (x := f.search(low, a, b))), None)
-        return m.span() if m else None
+        han = low.find("号", a, min(len(low), b + 1))
+        if han >= 0 and any(c.isdigit() for c in low[a:han]):
+            b = han + 1
+        else:
+            while b < len(low) and low[b].isdigit() and low[b - 1].isdigit():
+                b += 1
+            m = _UNIT_AFTER.search(low, a, b)
+            if m and any(c.isdigit() for c in low[a : m.start()]):
+                b = m.start()
+        return ends(str.isalnum, lambda c: c.isalnum()) if any(c.isdigit() for c in low[a:b]) else None
     m = TITLES.match(low[a:b])
     if m:
         a += m.end()
-    while a < b and not (low[a].isalpha()):
+    m = AFTER.search(low[a:b])
+    if m:
+        b = a + m.start()
+    while a < b and not low[a].isalpha():
         a += 1
     while b > a and not (low[b - 1].isalpha() or low[b - 1] == "."):
         b -= 1
-    if b > a and low[b - 1] == "." and not re.search(r"(?:^|[\s.])[^\W\d_]\.$", low[a:b]):
+    if b > a and low[b - 1] == "." and not _INITIAL.search(low[a:b]):
         b -= 1
-    inside = low[a:b]
-    if not inside or any(c.isdigit() or c == "@" for c in inside) or (inside.isascii() and not inside[0].isupper()):
-        return None
-    return None if _glued(low, a, b) else (a, b)
+    return (a, b) if a < b else None
+
+
+def _plain_word(c: str) -> bool:
+    return c.isascii() and c.isalnum()
 
 
 def find(tagger: Tagger, encoder: Encoder, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -315,13 +320,25 @@ def find(tagger: Tagger, encoder: Encoder, texts: list[str]) -> list[list[tuple[
     for text, spans in zip(texts, tagger.spans(encoder, texts)):
         mine = []
         for s in spans:
-            e = exact(text, s)
+            e = trimmed(text, s)
             if e and (not mine or e[0] >= mine[-1][1]):
                 mine.append((*e, KINDS[s[2]]))
         out.append(mine)
     return out
 
 
+def portions(texts: list[str], most: int = 400_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of up to ``most`` characters together (a longer text alone): the scores of their windows are held at once."""
+    first = chars = 0
+    for i, t in enumerate(texts):
+        if i > first and chars + len(t) > most:
+            yield first, i
+            first, chars = i, 0
+        chars += len(t)
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def load(path: str | Path = WEIGHTS) -> tuple[Tagger, str]:
     with np.load(path) as f:
         weights = {k: f[k] for k in f.files}
@@ -353,8 +370,8 @@ def personal(df: DataFrame, rec_id: str, text: str, parts: DataFrame, weights: s
             tagger, encoder = _ready(held.value, path)
             unique = {t: k for k, t in enumerate(dict.fromkeys(t for t in pdf.text if t))}
             texts, done = list(unique), []
-            for s in range(0, len(texts), 2000):
-                done += find(tagger, encoder, texts[s : s + 2000])
+            for lo, hi in portions(texts):
+                done += find(tagger, encoder, texts[lo:hi])
             pdf["findings"] = [[{"start": a, "end": b, "kind": k, "mention": t[a:b]} for a, b, k in done[unique[t]]] if t else [] for t in pdf.text]
             yield pdf
 

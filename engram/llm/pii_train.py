@@ -1,15 +1,17 @@
-"""Training of the tagger in ``pii``: python -m engram.llm.pii_train FOLDER [SECONDS].
+"""Training of the tagger in ``pii``: python -m engram.llm.pii_train FOLDER [SECONDS] [WORKERS] [continue].
 
-Labelled spans come from the texts of a table folder (content of messages and memory): a text is labelled where a
-carrier phrase with a known label stands beside the span (seed()), and parts of labelled names, digits of labelled numbers
-and house numbers are exchanged at random while training, so that the model learns forms and surroundings and not
-particular values. Flags of the table of name parts are dropped in part, since that table is incomplete.
+Labelled texts come from ``pii_texts``, which writes phrases, values and decoys of its own into a background without
+personal information: sentences of the folder's documents. The messages and memory that the tagger is run on are not read. Flags of
+the table of name parts are dropped in part, and a third of the table is unknown to each worker's second encoder, since that
+table is incomplete. With ``continue`` training goes on from the weights that are there.
 
-Loss is the negative log-likelihood of the CRF; gradients are by hand through CRF, output layer and both LSTMs; Adam.
+Loss is the negative log-likelihood of the CRF; gradients are by hand through CRF, output layer and both LSTMs; Adam. Each
+step averages the gradients of some worker processes, each with a batch of its own.
 """
 
 from __future__ import annotations
 
+import multiprocessing
 import re
 import sys
 import time
@@ -18,137 +20,8 @@ import numpy as np
 import pandas as pd
 
 from engram.llm import pii
-from engram.llm.pii import FLAGS, KINDS, TAGS, WINDOW, Encoder, Tagger, plain
-
-EMAIL, PHONE, ID, ADDRESS, NAME = range(5)
-
-#: plain() has made full-width colons and commas plain.
-PHONE_CUES = re.compile(r"(?:landline is|desk rings at|text me on|\bCall|tel=|Tel\.|phone:|phone is|Rückruf unter|erreichbar:|回访号码是|微信同号|电话:?|手机号:|打) ?(?=[+(\d])")
-NOT_PHONE = re.compile(r"(?:rows|host|order|build|ticket|epoch|Auftrag|Zeitstempel|shipped on|订单号|时间戳|构建编号|SF|trace|commit|port)\s?$")
-PHONE_FORMS = [
-    re.compile(r"(?<![A-Za-z0-9.])(?:\+86[ -]?)?1[3-9]\d[ -]?\d{4}[ -]?\d{4}(?!\d)"),
-    re.compile(r"(?<![A-Za-z0-9.])\(0\d{2,3}\)[ -]?\d{4} ?\d{4}(?!\d)|(?<![A-Za-z0-9.])0\d{2,3}-\d{4} ?\d{4}(?!\d)"),
-    re.compile(r"(?<![A-Za-z0-9.])(?:(?:\+1|001|1)[-. ]?)?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]?\d{4}(?!\d)"),
-    re.compile(r"(?<![A-Za-z0-9.])(?:\+44 ?|0044 ?|0)(?:\(0\) ?)?(?:7700 ?900 ?\d{3}|20 ?7946 ?\d{4})(?!\d)"),
-    re.compile(r"(?<![A-Za-z0-9.])(?:(?:\+49|0049) ?(?:\(0\) ?)?30|\(030\)|030)[ /-]?23125[ ]?\d{2,4}(?!\d)"),
-]
-ID_CUES = [
-    re.compile(r"(?:身份证号码?|身份证|实名用的是|证件:|证件号)\s?(\d[\d ]{13,20}[\dXx])"),
-    re.compile(r"(?:SSN|passport|national insurance)(?: number is|:|=| no\.?)?\s?((?:QQ ?\d\d ?\d\d ?\d\d ?[A-D])|X\d{8}|\d{3}[- ]?\d\d[- ]?\d{4})"),
-    re.compile(r"read out ((?:QQ ?\d\d ?\d\d ?\d\d ?[A-D])|X\d{8}|\d{3}[- ]?\d\d[- ]?\d{4}) as the"),
-    re.compile(r"(?:Ausweis lautet|Steuer-ID:|Ausweisnummer)\s?([A-Z0-9]{9,11}|\d\d(?: ?\d{3}){3})\b"),
-]
-GERMAN_STREET = re.compile(
-    r"(?:Anschrift: |bitte an |Wohnung |wohnt in |zieht in |Paket an )((?:Am |Im |An der |Zum |Alte |Neue )?[A-ZÄÖÜ][a-zäöüß-]+(?:\.)? \d+ ?[a-z]?)(?![\w])"
-)
-CHINESE_STREET = re.compile(r"(?:寄到|住址:|快递放|新办公室在|地址:)([㐀-鿿]{2,7}\d+(?:-\d+)?号)")
-STEMS = "Vel Har Oster Quen Brad Ash Dun Fen Cald Gros Kirs Lund Mor Pel Ror Stav Thal Tolle Win Ebb".split()
-ENDS = "vane croft sund moor haugh beck lind thorne mere bury denn mark rud wick gard rick holt field lowe stad".split()
-GIVEN = "Judith Grace Paula Anna Tomas".split()
-SURNAMES = "钱孙吴陈褚卫蒋沈韩朱秦何吕施张孔曹严华金魏陶李王刘赵周郑冯许姜杨"
-NEXT = "微砚澄语霁澈苒舟棠屿峤知远宁川衡柏易禾晴岚越"
-
-
-def upper(pattern: str) -> str:
-    """A pattern of names for names in capitals."""
-    return re.sub(r"[A-Z][a-z]+", lambda m: m.group().upper(), pattern)
-
-
-#: Words of the carrier phrases, which stay as they are.
-CUE_WORDS = re.compile(r"^(?:Call|Name|Please|Remember|Their|They|The|Parcel|Ship|Write|Send|Prof|Herr|Herrn|Frau|Anschrift|Lieferung|Wohnung|Ausweis|Ausweisnummer|Steuer|Telefon|Ansprechpartner|Mobil|Street|Zugang|Werkstatt|Bitte|Will|Mark|Rose|Gold|Hope|Paket|Mail)$")
-
-
-class Seeds:
-    """Labels by carrier phrases."""
-
-    def __init__(self, parts: list[tuple[str, str]]) -> None:
-        family = {t for t, r in parts if r == "family" and t.isascii()} | {s + e for s in STEMS for e in ENDS}
-        given = {t for t, r in parts if r == "given" and t.isascii()} | set(GIVEN)
-        self.family, self.given = sorted(family), sorted(given)
-        self.surnames = sorted({t for t, r in parts if r == "family" and not t.isascii()} | set(SURNAMES))
-        f = "(?:" + "|".join(sorted(family, key=len, reverse=True)) + ")"
-        g = "(?:" + "|".join(sorted(given, key=len, reverse=True)) + r"|[A-Z]\.)"
-        both = f"{f}(?:-{f})?"
-        form = lambda g, both: rf"(?:{both}, {g}(?: {g})?|(?:{g} ){{0,3}}{both})"
-        self.latin = re.compile(rf"(?<![A-Za-z0-9_@.+-])(?:{form(g, both)}|{form(upper(g), upper(both))})(?![A-Za-z0-9_@]|\.\w)")
-        z = "[" + "".join(self.surnames) + "]"
-        self.han = re.compile(rf"(?:联系人是|姓名:|负责人:|联系人:)({z}[㐀-鿿]{{1,2}})(?=[。！,;!\s]|$)|经({z}[㐀-鿿]{{0,2}})(?=女士|先生)|({z}[㐀-鿿]{{0,2}})(?=先生|女士)")
-
-    def label(self, text: str) -> list[tuple[int, int, int]]:
-        low = plain(text)
-        out: list[tuple[int, int, int]] = [(*m.span(), EMAIL) for m in pii.EMAIL.finditer(low)]
-        busy = lambda a, b: any(a < y and b > x for x, y, _ in out)
-        for rx in ID_CUES:
-            out += [(*m.span(1), ID) for m in rx.finditer(low) if not busy(*m.span(1))]
-        for rx in (pii.ADDRESS_EN,):
-            out += [(*m.span(), ADDRESS) for m in rx.finditer(low) if not busy(*m.span())]
-        for rx in (GERMAN_STREET, CHINESE_STREET):
-            for m in rx.finditer(low):
-                a, b = m.span(1)
-                b -= len(m.group(1)) - len(m.group(1).rstrip())
-                if not busy(a, b):
-                    out.append((a, b, ADDRESS))
-        for m in PHONE_CUES.finditer(low):
-            n = pii.NUMBER.match(low, m.end())
-            if n and sum(c.isdigit() for c in n.group()) >= 7 and not busy(*n.span()):
-                a, b = n.span()
-                b = a + len(re.split(r"\. ", low[a:b])[0])  # a full stop and a space end the sentence
-                out.append((a, b, PHONE))
-        for rx in PHONE_FORMS:
-            for m in rx.finditer(low):
-                a, b = m.span()
-                if not busy(a, b) and not NOT_PHONE.search(low[max(0, a - 14) : a]) and not low[b : b + 12].startswith(" of the grid"):
-                    out.append((a, b, PHONE))
-        out += [(*m.span(), NAME) for m in self.latin.finditer(low) if not busy(*m.span())]
-        for m in self.han.finditer(low):
-            k = next(i for i in (1, 2, 3) if m.group(i))
-            if not busy(*m.span(k)):
-                out.append((*m.span(k), NAME))
-        return sorted(out)
-
-
-def vary(text: str, spans: list[tuple[int, int, int]], seeds: Seeds, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text with values exchanged, and its spans."""
-    parts, out, at, shift = [], [], 0, 0
-
-    def word(like: str, invented: bool = False) -> str:
-        r = rng.random()
-        if r < 0.5 and not invented:
-            w = seeds.family[int(rng.integers(len(seeds.family)))] if r < 0.35 else seeds.given[int(rng.integers(len(seeds.given)))]
-        else:
-            w = "".join(("bcdfghklmnprstvw"[int(rng.integers(16))] + "aeiou"[int(rng.integers(5))] + ("nlrsmt"[int(rng.integers(6))] if rng.random() < 0.5 else "")) for _ in range(int(rng.integers(2, 4)))).capitalize()
-        return w
-
-    def outside(s: str) -> str:
-        """Text between spans: some names of products and some numbers are exchanged too, which stay unlabelled."""
-        if rng.random() < 0.3:
-            s = re.sub(r"\b[A-Z][a-z]{3,}\b", lambda m: word(m.group(), True) if rng.random() < 0.25 and not CUE_WORDS.search(m.group()) else m.group(), s)
-        if rng.random() < 0.5:
-            s = re.sub(r"\d(?=\d{3})|(?<=\d{3})\d", lambda m: str(int(rng.integers(10))), s)
-            s = re.sub(r"\b[A-Z]{3}(?=-\d)", lambda m: "".join(chr(65 + int(rng.integers(26))) for _ in range(3)), s)
-        return s
-
-    for a, b, kind in spans:
-        s = text[a:b]
-        if kind == NAME:
-            if s.isascii():
-                s = re.sub(r"[A-Z][a-z]+", lambda m: m.group() if rng.random() < 0.4 else word(m.group()), s)
-                s = re.sub(r"\b[A-Z]\.", lambda m: chr(65 + int(rng.integers(26))) + ".", s)
-            elif rng.random() < 0.7:
-                s = s[0] if rng.random() < 0.5 else seeds.surnames[int(rng.integers(len(seeds.surnames)))]
-                s += "".join(NEXT[int(rng.integers(len(NEXT)))] if rng.random() < 0.6 else chr(int(rng.integers(0x4E00, 0x9000))) for _ in range(b - a - 1))
-        elif kind == EMAIL:
-            if rng.random() < 0.5:
-                s = re.sub(r"[a-z]", lambda m: m.group() if rng.random() < 0.7 else chr(97 + int(rng.integers(26))), s) if not re.search(r"\sat\s|dot", s) else s
-        elif kind in (PHONE, ID, ADDRESS) and rng.random() < 0.6:
-            s = re.sub(r"(?<=\d)\d", lambda m: str(int(rng.integers(10))), s)
-        before = outside(text[at:a])
-        shift += len(before) - (a - at)
-        parts += [before, s]
-        out.append((a + shift, a + shift + len(s), kind))
-        shift += len(s) - (b - a)
-        at = b
-    return "".join([*parts, outside(text[at:])]), out
+from engram.llm.pii import FLAGS, KINDS, TAGS, Encoder, Tagger, plain
+from engram.llm.pii_texts import Texts
 
 
 def tags_of(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -262,77 +135,92 @@ def step(w: dict[str, np.ndarray], ids: np.ndarray, flags: np.ndarray, tags: np.
     return float((log_z - gold).sum() / n), {k: v / n for k, v in grads.items()}
 
 
-def train(texts: list[str], parts: list[tuple[str, str]], seconds: float, seed: int = 11, report=print) -> tuple[dict[str, np.ndarray], str]:
-    rng = np.random.default_rng(seed)
-    seeds = Seeds(parts)
-    labelled = [(t, seeds.label(t)) for t in texts]
-    full, empty = [x for x in labelled if x[1]], [x for x in labelled if not x[1]]
-    counts = pd.Series(list("".join(map(plain, texts)))).value_counts()
-    chars = "".join(sorted(c for c, k in counts.items() if k >= 20))
-    report(f"{len(full)} texts with spans, {len(empty)} without; {len(chars)} characters; spans " + ", ".join(f"{KINDS[k]} {sum(s[2] == k for _, x in full for s in x)}" for k in range(5)))
-    encoder = Encoder(chars, parts)
-    w = start_weights(encoder.size, rng)
+def background_of(folder: str, most: int = 60000) -> list[str]:
+    """Sentences and lines of the folder's documents, of 8 to 200 characters."""
+    texts = pd.read_parquet(f"{folder}/documents.parquet", columns=["text"]).text.dropna()
+    pieces = sorted({p for t in texts for p in re.split(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+", t[:4000]) if 8 <= len(p) <= 200 and "@" not in p})
+    return [pieces[i] for i in np.random.default_rng(2).permutation(len(pieces))[:most]]
+
+
+def batch_of(encoder: Encoder, make, rng: np.random.Generator, size: int) -> tuple[np.ndarray, ...]:
+    """(numbers, flags, tags), time x windows, and lengths, of windows of ``size`` texts."""
+    jobs = []
+    for _ in range(size):
+        text, spans = make()
+        length = int(rng.integers(60, 161))
+        lo = int(rng.integers(0, max(1, len(text) - length + 1)))
+        if spans and len(text) > length and rng.random() < 0.7:  # around a span
+            s = spans[int(rng.integers(len(spans)))]
+            lo = int(np.clip(s[0] - rng.integers(0, length), 0, len(text) - length))
+        ids, flags = encoder.encode(text[lo : lo + length])
+        if rng.random() < 0.25:
+            flags = flags & ~(64 | 128 | 256)
+        jobs.append((np.where(rng.random(len(ids)) < 0.01, 1, ids), flags, tags_of(len(text), spans)[lo : lo + length]))
+    lengths = np.array([len(j[0]) for j in jobs])
+    out = [np.zeros((int(lengths.max()), size), np.int64) for _ in range(3)]
+    for r, job in enumerate(jobs):
+        for whole, mine in zip(out, job):
+            whole[: len(mine), r] = mine
+    return *out, lengths
+
+
+def worker(pipe, seed: int, parts, background: list[str], chars: str, size: int) -> None:
+    rng, texts, encoder = np.random.default_rng(seed), Texts(parts, background, seed), Encoder(chars, parts)
+    known = [p for p in parts if rng.random() < 0.67]
+    encoders = (encoder, Encoder(chars, known))
+    while (weights := pipe.recv()) is not None:
+        pipe.send(step(weights, *batch_of(encoders[int(rng.integers(2))], texts.text, rng, size)))
+
+
+def train(parts, background: list[str], seconds: float, workers: int = 8, size: int = 48, seed: int = 11, start: tuple | None = None, report=print) -> tuple[dict[str, np.ndarray], str]:
+    """(weights, characters); ``start`` is what training goes on from."""
+    if start:
+        w, chars = start
+    else:
+        some = Texts(parts, background, seed)
+        counts = pd.Series(list("".join(plain(some.text()[0]) for _ in range(20000)) + "".join(map(plain, background)))).value_counts()
+        chars = "".join(sorted(c for c, k in counts.items() if k >= 20))
+        w = start_weights(Encoder(chars, parts).size, np.random.default_rng(seed))
+    report(f"{len(background)} background sentences, {len(chars)} characters")
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    began, n, loss_sum, batch = time.time(), 0, 0.0, 96
-    while True:
-        done = (time.time() - began) / seconds
-        if done >= 1:
-            break
-        jobs = []
-        for _ in range(batch):
-            pool = full if rng.random() < 0.65 else empty
-            text, spans = pool[int(rng.integers(len(pool)))]
-            text, spans = vary(text, spans, seeds, rng)
-            if rng.random() < 0.1:
-                text = text.replace("\\n", "\n") if rng.random() < 0.5 else text
-            length = int(rng.integers(60, 161))
-            lo = int(rng.integers(0, max(1, len(text) - length + 1)))
-            if spans and len(text) > length and rng.random() < 0.7:  # around a span
-                s = spans[int(rng.integers(len(spans)))]
-                lo = int(np.clip(s[0] - rng.integers(0, length), 0, len(text) - length))
-            ids, flags = encoder.encode(text[max(0, lo) : lo + length])
-            tags = tags_of(len(text), spans)[lo : lo + length]
-            if rng.random() < 0.3:
-                flags = flags & ~(64 | 128 | 256)
-            unknown = rng.random(len(ids)) < 0.01
-            jobs.append((np.where(unknown, 1, ids), flags, tags))
-        lengths = np.array([len(j[0]) for j in jobs])
-        t = int(lengths.max())
-        ids, flags, tags = np.zeros((t, batch), np.int64), np.zeros((t, batch), np.int64), np.zeros((t, batch), np.int64)
-        for r, (a, b, c) in enumerate(jobs):
-            ids[: len(a), r], flags[: len(a), r], tags[: len(a), r] = a, b, c
-        loss, grads = step(w, ids, flags, tags, lengths)
+    pipes = []
+    for k in range(workers):
+        here, there = multiprocessing.Pipe()
+        multiprocessing.Process(target=worker, args=(there, 100 + k, parts, background, chars, size), daemon=True).start()
+        pipes.append(here)
+    began, n, loss_sum = time.time(), 0, 0.0
+    while (done := (time.time() - began) / seconds) < 1:
+        for p in pipes:
+            p.send(w)
+        answers = [p.recv() for p in pipes]
+        grads = {k: sum(a[1][k] for a in answers) / workers for k in w}
+        loss_sum += sum(a[0] for a in answers) / workers
         norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
         n += 1
-        rate = 4e-3 * (1 - done) + 1e-4
+        rate = 4e-3 * min(1, n / 50) * (1 - done) + 1e-4
         for k, g in grads.items():
             g = g * min(1, 5 / norm)
             mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.99 * square[k] + 0.01 * g * g
             w[k] -= (rate * (mean[k] / (1 - 0.9**n)) / (np.sqrt(square[k] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
-        loss_sum += loss
         if n % 50 == 0:
             report(f"{n} steps, {time.time() - began:.0f} s, loss a window {loss_sum / 50:.3f}")
             loss_sum = 0.0
+    for p in pipes:
+        p.send(None)
     return w, chars
 
 
-def texts_of(folder: str) -> list[str]:
-    both = pd.concat([pd.read_parquet(f"{folder}/{t}.parquet", columns=["content"]).content for t in ("messages", "memory")])
-    return sorted(both.dropna().unique())
-
-
 def parts_of(folder: str) -> list[tuple[str, str]]:
     p = pd.read_parquet(f"{folder}/name_parts.parquet").dropna(subset=["token"])
     return sorted(set(zip(p.token.str.strip(), p.role.str.lower())))
 
 
-def held_out(tagger: Tagger, encoder: Encoder, texts: list[str], seeds: Seeds) -> dict[str, tuple[int, int, int]]:
+def held_out(tagger: Tagger, encoder: Encoder, labelled: list[tuple[str, list[tuple[int, int, int]]]]) -> dict[str, tuple[int, int, int]]:
     """Of each kind: labelled, found, both."""
-    out = {}
-    found = pii.find(tagger, encoder, texts)
+    out, found = {}, pii.find(tagger, encoder, [t for t, _ in labelled])
     for k, name in enumerate(KINDS):
-        a = {(i, x, y) for i, t in enumerate(texts) for x, y, c in seeds.label(t) if c == k}
+        a = {(i, x, y) for i, (_, s) in enumerate(labelled) for x, y, c in s if c == k}
         b = {(i, x, y) for i, f in enumerate(found) for x, y, c in f if c == name}
         out[name] = (len(a), len(b), len(a & b))
     return out
@@ -340,13 +228,19 @@ def held_out(tagger: Tagger, encoder: Encoder, texts: list[str], seeds: Seeds) -
 
 def main() -> None:
     folder, seconds = sys.argv[1], float(sys.argv[2]) if len(sys.argv) > 2 else 600
-    texts, parts = texts_of(folder), parts_of(folder)
-    test = [t for i, t in enumerate(texts) if i % 10 == 0]  # of sorted texts; near copies may stand on both sides
-    w, chars = train([t for i, t in enumerate(texts) if i % 10], parts, seconds)
+    workers = int(sys.argv[3]) if len(sys.argv) > 3 else 8
+    parts, background = parts_of(folder), background_of(folder)
+    cut = len(background) * 9 // 10
+    start = None
+    if "continue" in sys.argv:
+        tagger, chars = pii.load()
+        start = tagger.w, chars
+    w, chars = train(parts, background[:cut], seconds, workers, start=start, report=lambda *x: print(*x, flush=True))
     w = {k: v.astype(np.float16 if k == "emb" else np.float32) for k, v in w.items()}
     np.savez_compressed(pii.WEIGHTS, chars=np.array([ord(c) for c in chars], np.int32), **w)
     tagger, chars = pii.load()
-    for name, (a, b, both) in held_out(tagger, Encoder(chars, parts), test, Seeds(parts)).items():
+    test = Texts(parts, background[cut:], 999)
+    for name, (a, b, both) in held_out(tagger, Encoder(chars, parts), [test.text() for _ in range(2000)]).items():
         print(f"{name}: {a} labelled, {b} found, {both} of them the same")
 
 
