@@ -172,14 +172,19 @@ def test_table(spark, small):
         pii.name_parts(parts, 2)
 
 
-#: Sentences in words of their own, none of which the training texts hold; findings stand in braces after their kind's first letter.
-UNSEEN = """You can reach n{Sarah Connor} at p{415-555-2671}.|Her SSN was recorded as i{078-05-1120}.|Deliver it to a{14 Rue de Rivoli}.|Er wohnt in der a{Schillerstraße 12a} in Berlin.|n{Maria Garcia-Lopez} sent the contract.|We hired n{Kenji Watanabe}.|n{Piotr Nowak} asked for a refund.|
-Please write e{j_smith@corp.internal.io} about it.|n{王小明}昨天来过。|The passport was i{533401372}.|Ask Priya|Sherlock lived at a{221B Baker Street} for years.|Notify e{first.last+tag@sub.example.co.uk} by noon.|拨打p{13812345678}即可。|The caller left p{+44 20 7946 0958} as a call-back number.|Der Nachbar Herr n{Obermeier} beschwert sich.|
-Mrs. n{Kowalczyk} forgot her umbrella.|Rent for a{77 Chestnut Avenue} is due.|Die Lieferung ging in die a{Goethestraße 9}.|护照是i{E12345678}，已过期。|公司搬到a{解放路88号}了。|n{Fatima Hassan} chairs the meeting.|I forgot that p{(212) 555-0199} is disconnected.|Unter p{0171 2345678} meldet sich niemand.|
+#: Sentences whose phrases aren't among those of the training texts (titles and words like passport are in both). Findings stand in braces after their kind's first letter.
+UNSEEN = """Deliver it to a{14 Rue de Rivoli}.|Er wohnt in der a{Schillerstraße 12a} in Berlin.|n{Maria Garcia-Lopez} sent the contract.|We hired n{Kenji Watanabe}.|n{Piotr Nowak} asked for a refund.|
+Please write e{j_smith@corp.internal.io} about it.|n{王小明}昨天来过。|The passport was i{533401372}.|Sherlock lived at a{221B Baker Street} for years.|Notify e{first.last+tag@sub.example.co.uk} by noon.|拨打p{13812345678}即可。|The caller left p{+44 20 7946 0958} as a call-back number.|Der Nachbar Herr n{Obermeier} beschwert sich.|
+Mrs. n{Kowalczyk} forgot her umbrella.|Rent for a{77 Chestnut Avenue} is due.|Die Lieferung ging in die a{Goethestraße 9}.|护照是i{E12345678}，已过期。|n{Fatima Hassan} chairs the meeting.|I forgot that p{(212) 555-0199} is disconnected.|Unter p{0171 2345678} meldet sich niemand.|
 The build 20240117 broke on port 8080.|Version 3.14.159 is out.|Rows 100000 to 200000 were skipped.|Order 4478812345 arrived late.|The Rose garden closes in October.|Ticket 99812 blocks the release.|请n{李雷}先生到前台。|负责这事的是n{韩梅梅}。|Invoice mail: e{billing@acme-tools.com}|His tax id, i{12 345 678 903}, was wrong.|会议室3号楼已订满。|Am 12.03.2024 um 14:30 Uhr lief alles.|
 n{Dr} was a typo|the file n.txt has 7 lines|Dr. n{Okonkwo} prescribed rest.|n{J. Peterson} agreed to wait.""".replace("n{Dr} was", "Dr was")
 
 
+def test_sentences_with_phrases_of_the_training_texts(tagger):
+    assert found(tagger, "You can reach Sarah Connor at 415-555-2671.") == [("name", "Sarah Connor"), ("phone", "415-555-2671")]
+    assert found(tagger, "Her SSN was recorded as 078-05-1120.") == [("id_number", "078-05-1120")] and found(tagger, "Ask Priya") == []
+
+
 def test_unseen_sentences(tagger):
     kinds, wanted, got = {k[0]: k for k in pii.KINDS}, set(), set()
     for i, marked in enumerate(UNSEEN.replace("\n", "").split("|")):
