@@ -1,7 +1,8 @@
 """Training of the tagger in ``pii``: python -m engram.llm.pii_train FOLDER [SECONDS] [WORKERS] [continue].
 
 Labelled texts come from ``pii_texts``, which writes phrases, values and decoys of its own into a background without
-personal information: sentences of the folder's documents. The messages and memory that the tagger is run on are not read. Flags of
+personal information: sentences of the folder's documents. The messages and memory that the tagger is run on are not read (the weights
+that are here saw some 160 of them in an earlier version of this file; see the README). Flags of
 the table of name parts are dropped in part, and a third of the table is unknown to each worker's second encoder, since that
 table is incomplete. With ``continue`` training goes on from the weights that are there.
 
