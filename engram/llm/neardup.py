@@ -11,11 +11,12 @@ permutations and 4 values to a band there are 50 bands, which miss a pair of J =
 Records of equal folded text and equal entities form a class. Only classes are compared, each by its smallest key; copies
 cost one row of membership each, and are expanded only where pairs of records are asked for.
 
-Candidates are joined on the band's key. The join's condition compares sizes and a 128-bit sketch (2 bits of 64
-minima), so that of a bucket only plausible pairs are emitted, not all; a pair of J = 0.6 passes it but for 1 in 10^4.
-Bands are counted by partial sums first. Those of more than ``cap`` classes are cut into chunks by a hash of the key,
-which meet each other in separate tasks, so that no bucket is ever skipped and none lies in one task. Survivors are
-checked exactly.
+Candidates meet by the band's key, a few bands a pass, so that the disk never holds more of them than that. A row of a
+band is packed into few bytes, and a bucket's rows are compared as arrays: their sizes, a signature of their entities (no
+more entities can be the same than its bits allow, so it loses nothing) and a 128-bit sketch (2 bits of 64 minima), so that
+of a bucket only plausible pairs are emitted, not all; a pair of J = 0.6 passes it but for 1 in 10^4. Buckets of more than
+``cap`` classes are cut into chunks, which meet each other in separate tasks, so that no bucket is ever skipped and none is
+compared in one task. Survivors are checked exactly, on texts that are read again.
 
 Defined results: texts are keyed by ``key``; of several rows of one key the greatest text and list count; null keys and
 texts, and those folded to fewer than ``least`` characters, belong to no pair; two empty entity sets count as equal; an
@@ -24,7 +25,9 @@ empty table gives an empty result. Pairs have id_a < id_b. Other columns are nev
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +37,10 @@ from pyspark.sql import functions as F
 
 from engram.llm.terms import term_list
 from engram.operators.components import components
-from engram.session import cut
+from engram.session import cut, cut_and_clear
+
+#: Bands of each text that meet in one pass, at least; and rows of bands that a pass may have beyond that.
+STEP, PASS_ROWS = 5, 2_000_000
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -85,14 +91,14 @@ class MinMax:
         return sigs, sizes
 
     def bands(self, sigs: np.ndarray) -> np.ndarray:
-        """A 64-bit key of each band, in which the band's number is mixed."""
+        """A 32-bit key of each band, in which the band's number is mixed. Keys that are equal by chance only cost a comparison."""
         count = sigs.shape[1] // self.rows
         values = sigs[:, : count * self.rows].reshape(len(sigs), count, self.rows).astype(np.uint64)
         h = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), values.shape[:2]).copy()
         for r in range(self.rows):
             h = (h ^ values[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        return h.view(np.int64)
+        return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def sketch(self, sigs: np.ndarray) -> np.ndarray:
         """Two words of 32 x 2 bits of the first 64 minima."""
@@ -101,17 +107,25 @@ class MinMax:
         return np.stack([(bits[:, :32] << shift).sum(1, dtype=np.uint64), (bits[:, 32:] << shift).sum(1, dtype=np.uint64)], 1).view(np.int64)
 
 
+def one_each(df: DataFrame, key: str, text: str, entities: str) -> DataFrame:
+    """(id, text, entities): one row for each key with a text. Only keys of several rows are moved with their texts."""
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(entities).alias("entities"))
+    again = few(rows.groupBy("id").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("id"))
+    merged = rows.join(again, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"), F.max("entities").alias("entities"))
+    one = rows.join(again, "id", "left_anti").unionByName(merged)
+    return one.select("id", "text", F.array_sort(F.array_distinct(term_list(F.col("entities")))).alias("entities"))
+
+
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Fixed rows for a join: broadcast if they are a checked number, else shuffled, whatever their size is thought to be."""
+    rows = cut(df)
+    return F.broadcast(rows) if rows.count() <= most else rows.hint("merge")
+
+
 def signed(df: DataFrame, key: str, text: str, entities: str, least: int, maker: MinMax) -> DataFrame:
-    """(id, cls, folded, entities, n, e, s1, s2, bands): one row for each key with a text that is long enough."""
-    one = (
-        df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(entities).alias("entities"))
-        .groupBy("id")
-        .agg(F.max("text").alias("text"), F.max("entities").alias("entities"))
-        # Lower case may lengthen a text (at most threefold), folding only shortens it.
-        .where(F.length("text") >= least // 3)
-        .select("id", "text", F.array_sort(F.array_distinct(term_list(F.col("entities")))).alias("entities"))
-    )
+    """(id, cls, n, e, g, s1, s2, bands): one row for each key with a text that is long enough; g has a bit for each of its entities."""
+    # Lower case may lengthen a text (at most threefold), folding only shortens it.
+    one = one_each(df, key, text, entities).where(F.length("text") >= least // 3)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -123,86 +137,175 @@ def signed(df: DataFrame, key: str, text: str, entities: str, least: int, maker:
             sigs, sizes = maker.signatures(texts)
             sketch = maker.sketch(sigs)
             part = pdf.iloc[keep]
-            yield pd.DataFrame({"id": part.id.values, "folded": texts, "entities": part.entities.values, "n": sizes, "s1": sketch[:, 0], "s2": sketch[:, 1], "bands": list(maker.bands(sigs))})
+            names = [[x.encode("utf-8", "surrogatepass") for x in es] for es in part.entities]
+            bits = np.array([sum({1 << (zlib.crc32(x) & 63) for x in es}) for es in names], np.uint64).view(np.int64)
+            cls = [hashlib.md5(b"\x1f".join([t.encode("utf-8", "surrogatepass"), *es])).digest() for t, es in zip(texts, names)]
+            yield pd.DataFrame({"id": part.id.values, "cls": cls, "n": sizes, "e": np.array([len(es) for es in names], np.int32), "g": bits, "s1": sketch[:, 0], "s2": sketch[:, 1], "bands": list(maker.bands(sigs))})
 
-    rows = one.mapInPandas(run, "id string, folded string, entities array<string>, n int, s1 long, s2 long, bands array<long>")
-    name = F.md5(F.concat_ws("\x1f", F.array(F.col("folded")), "entities"))
-    return rows.withColumns({"cls": name, "e": F.size("entities")})
+    return one.mapInPandas(run, "id string, cls binary, n int, e int, g long, s1 long, s2 long, bands array<int>")
 
 
 class Classes:
     """Signed records, their classes, and the pairs of classes that reach the thresholds."""
 
     def __init__(self, df: DataFrame, key: str, text: str, entities: str, jaccard: float, entity_jaccard: float, least: int, width: int, permutations: int, rows: int, cap: int) -> None:
-        every = cut(signed(df, key, text, entities, least, MinMax(permutations, rows, width)))
+        maker = MinMax(permutations, rows, width)
+        every = cut_and_clear(signed(df, key, text, entities, least, maker).withColumn("num", F.monotonically_increasing_id()))
         sizes = every.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
         #: (id, rep, size) of the members of classes with copies; few or many, they are rows, never lists.
-        self.members = cut(every.select("id", "cls").join(sizes.where("size > 1"), "cls").select("id", "rep", "size"))
-        leads = every.join(self.members.where("id <> rep").select("id"), "id", "left_anti")
-        bands = leads.select("id", "n", "e", "s1", "s2", F.explode("bands").alias("band"))
-        self.pairs = cut(exact_pairs(candidate_pairs(bands, jaccard, entity_jaccard, cap), every, jaccard, entity_jaccard, width))
-        self.every = every
-
-
-def candidate_pairs(bands: DataFrame, jaccard: float, entity_jaccard: float, cap: int = 256, slots: int = 30, broadcast_most: int = 100_000) -> DataFrame:
-    """Distinct (a, b), a < b, that share a band and whose sizes and sketches allow both thresholds."""
-    hot = cut(bands.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > cap).select("band", F.ceil(F.col("many") / cap).cast("int").alias("chunks")))
-    found = hot.count()
-    odd = F.lit(0x5555555555555555).cast("long")
-
-    def differ(w: str):
-        x = F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(odd))
-
-    lo, hi = (lambda c: F.least(f"{c}_a", f"{c}_b")), (lambda c: F.greatest(f"{c}_a", f"{c}_b"))
-    fits = (F.col("id_a") < F.col("id_b")) & (lo("n") >= hi("n") * jaccard) & (lo("e") >= hi("e") * entity_jaccard) & (differ("s1") + differ("s2") <= 64 - slots)
-
-    def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        a, b = (x.select([F.col(c).alias(c if c in on else f"{c}_{s}") for c in x.columns]) for s, x in (("a", left), ("b", right)))
-        return a.join(b, on).where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-
-    if not found:
-        return meet(bands, bands, ["band"]).distinct()
-    # A checked number of hot bands is broadcast, more are joined by shuffle.
-    few = F.broadcast(hot) if found <= broadcast_most else hot
-    plain = bands.join(few.select("band"), "band", "left_anti")
-    crowded = bands.join(few, "band")
-    left = crowded.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
-    right = crowded.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    return meet(plain, plain, ["band"]).unionByName(meet(left, right, ["band", "chunk"])).distinct()
+        self.members = cut_and_clear(every.select("id", "cls").join(sizes.where("size > 1").hint("merge"), "cls").select("id", "rep", "size"))
+        leads = every.join(few(self.members.where("id <> rep").select("id")), "id", "left_anti").select("num", "n", "e", "g", "s1", "s2", "bands")
+        found, step = None, max(STEP, PASS_ROWS // max(1, every.count()))
+        for k in range(0, 2 * permutations // rows, step):
+            bands = leads.select(F.col("num").alias("id"), "n", "e", "g", "s1", "s2", F.explode(F.slice("bands", k + 1, step)).alias("band"))
+            met = cut_and_clear(candidate_pairs(bands, jaccard, entity_jaccard, cap))
+            found = met if found is None else found.unionByName(met)
+        name = lambda s: every.select(F.col("num").alias(s), F.col("id").alias(f"id_{s}")).hint("merge")
+        named = found.distinct().join(name("a"), "a").join(name("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+        self.pairs = cut_and_clear(exact_pairs(cut_and_clear(named), one_each(df, key, text, entities), jaccard, entity_jaccard, width))
+
+
+def _fields(width: int) -> np.dtype:
+    """A packed row of a band; keys are numbers, or bytes of this width."""
+    return np.dtype([("id", f"S{width}" if width else "<i8"), ("band", "<u4"), ("n", "<u4"), ("e", "<u4"), ("g", "<u8"), ("s1", "<u8"), ("s2", "<u8")])
+
+
+def candidate_pairs(bands: DataFrame, jaccard: float, entity_jaccard: float, cap: int = 2048, slots: int = 30, broadcast_most: int = 0) -> DataFrame:
+    """Distinct (a, b), a < b, that share a band and whose sizes, entities and sketches allow both thresholds. ``bands`` may lack g. Nothing is broadcast, whatever ``broadcast_most`` says."""
+    kind = dict(bands.dtypes)["id"]
+    tasks = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * tasks
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids = pdf.id.to_numpy() if kind == "bigint" else np.array([x.encode() for x in pdf.id])
+            width = 0 if kind == "bigint" else ids.dtype.itemsize
+            x = np.zeros(len(pdf), _fields(width))
+            x["id"] = ids
+            for c in pdf.columns.drop("id"):
+                x[c] = pdf[c].to_numpy().astype(np.int64).view(np.uint64)
+            part = x["band"] % parts
+            order = np.argsort(part, kind="stable")
+            x, part = x[order], part[order]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            yield pd.DataFrame({"part": part[starts].astype(np.int64), "width": width, "rows": [x[i:j].tobytes() for i, j in zip(starts, [*starts[1:], len(x)])]})
+
+    odd = np.uint64(0x5555555555555555)
+
+    def fits(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs of rows those that may reach the thresholds; the cheapest and sharpest test comes first."""
+        g, h, e, f = c["g"][i], c["g"][j], c["e"][i], c["e"][j]
+        same = np.minimum(e - np.bitwise_count(g & ~h), f - np.bitwise_count(h & ~g))
+        ok = same * (1 + entity_jaccard) >= (e + f) * entity_jaccard - 1e-9
+        i, j = i[ok], j[ok]
+        n, m = c["n"][i], c["n"][j]
+        ok = (np.minimum(n, m) >= np.maximum(n, m) * jaccard) & (c["id"][i] != c["id"][j])
+        i, j = i[ok], j[ok]
+        differ = np.zeros(len(i), np.int64)
+        for s in ("s1", "s2"):
+            x = c[s][i] ^ c[s][j]
+            differ += np.bitwise_count((x | (x >> np.uint64(1))) & odd)
+        ok = differ <= 64 - slots
+        return i[ok], j[ok]
+
+    def columns(x: np.ndarray) -> dict[str, np.ndarray]:
+        return {c: np.ascontiguousarray(x[c]).astype(np.int64) if c in ("n", "e") else np.ascontiguousarray(x[c]) for c in x.dtype.names}
+
+    def within(x: np.ndarray) -> np.ndarray:
+        """(2, pairs): keys of the pairs of rows of one band that fit. Rows are in order of bands."""
+        c = columns(x)
+        last = np.searchsorted(c["band"], c["band"], side="right")
+        at, out, d = np.arange(len(x)), [], 1
+        while len(at := at[at + d < last[at]]):
+            # Several distances at once, while few rows are left.
+            steps = min(max(1, 65536 // len(at)), int((last[at] - at).max()) - d)
+            i, j = np.repeat(at, steps), (at[:, None] + np.arange(d, d + steps)).ravel()
+            ok = j < last[i]
+            out.append(np.stack([c["id"][k] for k in fits(c, i[ok], j[ok])]))
+            d += steps
+        return ordered(out)
+
+    def ordered(found: list[np.ndarray]) -> np.ndarray:
+        if not found:
+            return np.zeros((2, 0), np.int64)
+        a, b = np.concatenate(found, 1)
+        return np.where(a < b, [a, b], [b, a])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.concatenate([np.frombuffer(r, _fields(w)) for w, r in zip(pdf.width, pdf.rows)])
+        x = x[np.argsort(x["band"], kind="stable")]
+        starts = np.flatnonzero(np.r_[True, x["band"][1:] != x["band"][:-1]])
+        many = np.diff(np.r_[starts, len(x)])
+        width = max(pdf.width)
+        out = []
+        for i, m in zip(starts[many > cap], many[many > cap]):
+            chunks = [x[k : min(k + cap, i + m)].tobytes() for k in range(i, i + m, cap)]
+            out += [(int(x["band"][i]) * 31 + p * len(chunks) + q, width, chunks[p], chunks[q] if q > p else b"") for p in range(len(chunks)) for q in range(p, len(chunks))]
+        small = np.repeat((many > 1) & (many <= cap), many)
+        found = within(x[small])
+        if found.size:
+            out.append((int(pdf.part.iloc[0]), width, None, found.tobytes()))
+        return pd.DataFrame(out, columns=["task", "width", "one", "other"])
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for width, one, other in zip(pdf.width, pdf.one, pdf.other):
+                if one is None:
+                    a, b = np.frombuffer(other, _fields(width)["id"]).reshape(2, -1)
+                elif not len(other):
+                    a, b = within(np.frombuffer(one, _fields(width)))
+                else:
+                    x = np.frombuffer(one + other, _fields(width))
+                    c, first = columns(x), len(one) // x.dtype.itemsize
+                    found = []
+                    for i in range(0, first, 256):
+                        rows = np.arange(i, min(i + 256, first))
+                        pair = fits(c, np.repeat(rows, len(x) - first), np.tile(np.arange(first, len(x)), len(rows)))
+                        found.append(np.stack([c["id"][k] for k in pair]))
+                    a, b = ordered(found)
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b} if not width else {"a": [k.decode() for k in a], "b": [k.decode() for k in b]})
+
+    packed = bands.mapInPandas(pack, "part long, width int, rows binary")
+    found = packed.groupBy("part").applyInPandas(meet, "task long, width int, one binary, other binary")
+    return found.repartition(tasks, "task").mapInPandas(finish, f"a {kind}, b {kind}").distinct()
 
 
 def exact_pairs(pairs: DataFrame, rows: DataFrame, jaccard: float, entity_jaccard: float, width: int) -> DataFrame:
-    """(a, b, jaccard, entity_jaccard) of the pairs that reach both thresholds."""
+    """(a, b, jaccard, entity_jaccard) of the pairs that reach both thresholds; rows are (id, text, entities)."""
     # Entities first, on rows without texts: few pairs are left for which texts must be sent.
+    rows = rows.join(few(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
     same = F.size(F.array_intersect("entities_a", "entities_b"))
     both = F.size("entities_a") + F.size("entities_b") - same
     near = F.when(both == 0, F.lit(1.0)).otherwise(same / both)
-    of = lambda s, c: rows.select(F.col("id").alias(s), F.col(c).alias(f"{c}_{s}"))
+    of = lambda s, c: rows.select(F.col("id").alias(s), F.col(c).alias(f"{c}_{s}")).hint("merge")
     close = pairs.join(of("a", "entities"), "a").join(of("b", "entities"), "b").select("a", "b", near.alias("entity_jaccard")).where(F.col("entity_jaccard") >= entity_jaccard)
-    joined = close.join(of("a", "folded"), "a").join(of("b", "folded"), "b")
+    joined = close.join(of("a", "text"), "a").join(of("b", "text"), "b")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             kept: dict[str, set[str]] = {}
 
-            def parts(i: str, f: str) -> set[str]:
+            def parts(i: str, t: str) -> set[str]:
                 if i not in kept:
+                    f = fold(t)
                     kept[i] = {f[k : k + width] for k in range(len(f) - width + 1)}
                 return kept[i]
 
             j = np.empty(len(pdf))
-            for k, (ia, ib, ta, tb) in enumerate(zip(pdf.a, pdf.b, pdf.folded_a, pdf.folded_b)):
+            for k, (ia, ib, ta, tb) in enumerate(zip(pdf.a, pdf.b, pdf.text_a, pdf.text_b)):
                 x, y = parts(ia, ta), parts(ib, tb)
                 same = len(x & y)
                 j[k] = same / (len(x) + len(y) - same)
             yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "jaccard": j, "entity_jaccard": pdf.entity_jaccard})[j >= jaccard]
 
-    return joined.select("a", "b", "folded_a", "folded_b", "entity_jaccard").mapInPandas(exact, "a string, b string, jaccard double, entity_jaccard double")
+    return joined.select("a", "b", "text_a", "text_b", "entity_jaccard").mapInPandas(exact, "a string, b string, jaccard double, entity_jaccard double")
 
 
 def near_pairs(
-    df: DataFrame, key: str, text: str, entities: str, jaccard: float = 0.6, entity_jaccard: float = 0.5, least: int = 60, width: int = 5, permutations: int = 100, rows: int = 4, cap: int = 256
+    df: DataFrame, key: str, text: str, entities: str, jaccard: float = 0.6, entity_jaccard: float = 0.5, least: int = 60, width: int = 5, permutations: int = 100, rows: int = 4, cap: int = 2048
 ) -> DataFrame:
     """(id_a, id_b, jaccard, entity_jaccard) of all pairs that reach both thresholds, copies too."""
     c = Classes(df, key, text, entities, jaccard, entity_jaccard, least, width, permutations, rows, cap)
@@ -221,7 +324,7 @@ def near_pairs(
 
 
 def near_groups(
-    df: DataFrame, key: str, text: str, entities: str, jaccard: float = 0.6, entity_jaccard: float = 0.5, least: int = 60, width: int = 5, permutations: int = 100, rows: int = 4, cap: int = 256
+    df: DataFrame, key: str, text: str, entities: str, jaccard: float = 0.6, entity_jaccard: float = 0.5, least: int = 60, width: int = 5, permutations: int = 100, rows: int = 4, cap: int = 2048
 ) -> DataFrame:
     """(id, group_id, links): every key that has a text, its group (the smallest key linked to it, over any number of steps) and its number of links. Copies aren't expanded into pairs."""
     c = Classes(df, key, text, entities, jaccard, entity_jaccard, least, width, permutations, rows, cap)
