@@ -31,3 +31,11 @@ def test_lists_over_shards_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ranked, "BLOCK", 60)
     assert {tuple(r) for r in M.dedup_candidates(rows).collect()} == want and len(want) == 150 * 20
     assert M.dedup_candidates(rows.where(F.lit(False))).count() == 0
+
+
+def test_jaccards():
+    rng = np.random.default_rng(2)
+    sets = [np.flatnonzero(rng.random(50) < 0.3) for _ in range(30)] + [np.zeros(0, np.int64)]
+    a, b = np.repeat(np.arange(31), 31), np.tile(np.arange(31), 31)
+    want = [len(set(x) & set(y)) / len(set(x) | set(y)) if len(x) and len(y) else 0.0 for x in sets for y in sets]
+    assert np.allclose(ranked.jaccards(list(sets), a, b), want)
