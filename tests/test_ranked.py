@@ -39,3 +39,12 @@ def test_jaccards():
     a, b = np.repeat(np.arange(31), 31), np.tile(np.arange(31), 31)
     want = [len(set(x) & set(y)) / len(set(x) | set(y)) if len(x) and len(y) else 0.0 for x in sets for y in sets]
     assert np.allclose(ranked.jaccards(list(sets), a, b), want)
+
+
+def test_scores_over_several_cells_count_the_same(spark, monkeypatch):
+    from engram.operators import maintain as M
+
+    rows = spark.createDataFrame([(f"k{i:02d}", f"common words stand here alpha{i % 7} beta{i % 11}", [f"e{i % 4}"], 0.1 * (i % 6)) for i in range(60)], "key string, content string, entities array<string>, intensity double")
+    want = {tuple(r) for r in M.dedup_scores(rows).collect()}
+    monkeypatch.setattr(ranked, "BLOCK", 10)
+    assert {tuple(r) for r in M.dedup_scores(rows).collect()} == want and len(want) == 60 * 20
