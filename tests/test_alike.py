@@ -70,3 +70,11 @@ def test_rarest_by_join_is_the_same(spark, monkeypatch):
     want = took()
     monkeypatch.setattr(ranked, "VOCABULARY", 3)
     assert took() == want and len(want) == 60
+
+
+def test_matched_counts_what_scores_reach(spark):
+    rows = spark.createDataFrame([(*r, None) for r in made(120)], "key string, content string, entities array<string>, intensity double, created timestamp")
+    scores = [r.score for r in M.dedup_scores(rows).collect()]
+    (got,) = M.dedup_matched(rows).collect()
+    assert (got.compared, got.matched) == (len(scores), sum(x >= M.DEFAULT.dedup_threshold for x in scores)) and 0 < got.matched < got.compared
+    assert tuple(M.dedup_matched(rows.where(F.lit(False))).first()) == (0, 0)
