@@ -48,3 +48,37 @@ def test_scores_over_several_cells_count_the_same(spark, monkeypatch):
     want = {tuple(r) for r in M.dedup_scores(rows).collect()}
     monkeypatch.setattr(ranked, "BLOCK", 10)
     assert {tuple(r) for r in M.dedup_scores(rows).collect()} == want and len(want) == 60 * 20
+
+
+def test_search_counts_frequent_words_by_bitmaps(monkeypatch):
+    """Words that many entries have aren't walked through: their lists may be empty."""
+    rng = np.random.default_rng(3)
+    n, words = 5000, 60
+    has = rng.random((n, words)) < np.r_[np.linspace(0.001, 0.01, 15), np.linspace(0.02, 0.5, 45)]
+    idf = np.log(1 + (n - has.sum(0) + 0.5) / (has.sum(0) + 0.5))
+    many = has.sum(1)
+    w = np.concatenate([np.flatnonzero(has[i]) for i in range(n)]).astype(np.uint16)
+    monkeypatch.setattr(ranked, "DENSE", 64)
+    for size in (40 * 8 * 79, 20 * 8 * 79):  # all of the frequent words, and half of them
+        monkeypatch.setattr(ranked, "BITMAPS", size)
+        index = ranked.inverted(w, np.cumsum(many) - many, many, np.arange(words))
+        assert (index[3][1] >= 0).sum() == size // (8 * 79) and len(index[2]) == has[:, index[3][1] < 0].sum()
+        asking = [(i, a := np.flatnonzero(has[i])[k % 3 :][: 8 - k % 5], idf[a]) for k, i in enumerate(range(0, n, 9))]
+        for own, c, sums in ranked.search(*index[:3], n, asking, 20, index[3]):
+            want = np.round((has[:, a := dict((x, y) for x, y, _ in asking)[own]] * idf[a]).sum(1), 6)
+            want[own] = 0
+            best = np.lexsort((np.arange(n), -want))[:20]
+            best = best[want[best] > 0]
+            assert list(c) == list(best) and np.allclose(sums, want[best])
+
+
+def test_ranked_words_by_join_are_the_same(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, [f"w{(i * k) % 17}" for k in range(1, 12)]) for i in range(60)], "key long, words array<string>").select("key", F.array_distinct("words").alias("words"))
+    lists = rows.select("key", F.transform("words", lambda x: F.xxhash64(x)).alias("w"))
+    df = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    took = lambda: {r.key: (list(r.w), [round(x, 9) for x in r.idf]) for r in ranked.ranked_words(lists, df, 60, 8).collect()}
+    want = took()
+    monkeypatch.setattr(ranked, "VOCABULARY", 3)
+    assert took() == want and len(want) == 60
