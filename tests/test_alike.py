@@ -78,3 +78,19 @@ def test_matched_counts_what_scores_reach(spark):
     (got,) = M.dedup_matched(rows).collect()
     assert (got.compared, got.matched) == (len(scores), sum(x >= M.DEFAULT.dedup_threshold for x in scores)) and 0 < got.matched < got.compared
     assert tuple(M.dedup_matched(rows.where(F.lit(False))).first()) == (0, 0)
+
+
+def test_pairs_without_a_chance_are_left_out_where_they_are_found(spark, monkeypatch):
+    rows = spark.createDataFrame([(*r, None) for r in made(120)], "key string, content string, entities array<string>, intensity double, created timestamp")
+    sides = M.dedup_sides(rows)
+    every = {(r.key, r.other): r for r in M.dedup_ranked(sides).collect()}
+    assert {k: round(r.raw, 6) for k, r in every.items()} == {(r.key, r.other): round(r.raw, 6) for r in M.dedup_candidates(rows).collect()}
+    some = M.dedup_ranked(sides, keep=M.may_match(M.DEFAULT)).collect()
+    left = {(r.key, r.other): r for r in some if r.key is not None}
+    chance = {k for k, r in every.items() if M.may_match(M.DEFAULT)(*(np.array([x]) for x in (r.jw, r.je, min(r.raw / 20, 1.0), r.s, r.s2, r.both)))[0]}
+    assert left.keys() == chance and 0 < len(left) < len(every) and all(r == every[k] for k, r in left.items())
+    assert sum(r.raw for r in some if r.key is None) == len(every)
+    want = tuple(M.dedup_matched(rows).first())
+    for m in (ranked, M):
+        monkeypatch.setattr(m, "SHARD", 50)
+    assert tuple(M.dedup_matched(rows).first()) == want
