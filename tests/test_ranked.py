@@ -82,3 +82,15 @@ def test_ranked_words_by_join_are_the_same(spark, monkeypatch):
     want = took()
     monkeypatch.setattr(ranked, "VOCABULARY", 3)
     assert took() == want and len(want) == 60
+
+
+def test_bigrams_of_pairs_over_groups_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = {f"k{i:02d}": "".join(rng.choice(list("abcde 中文字"), rng.integers(1, 40))) for i in range(50)}
+    pairs = [(f"k{a:02d}", f"k{b:02d}", float(a)) for a in range(50) for b in rng.choice(50, 6, replace=False)]
+    sets = {k: {t[i : i + 2] for i in range(len(t) - 1)} for k, t in texts.items()}
+    want = {(a, b, raw, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] and sets[b] else 0.0, 9)) for a, b, raw in pairs}
+    monkeypatch.setattr(ranked, "BLOCK", 3)
+    asked = spark.createDataFrame(pairs, "key string, other string, raw double")
+    got = ranked.shared_grams(asked, spark.createDataFrame(list(texts.items()), "key string, low string"), 50)
+    assert {(r.key, r.other, r.raw, round(r.jg, 9)) for r in got.collect()} == want and len(want) == 300
